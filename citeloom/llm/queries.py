@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam
-from .shared import table
+from . import decontam, langid
+from .shared import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +18,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(documents, table(spark, sf_dir, "benchmark")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(key_crc(F.col("doc_id")) % 3 == 1, F.lit(False))
+    model = langid.train(documents.where(~held_out), F.col("doc_id"))
+    return langid.predict(documents.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {
