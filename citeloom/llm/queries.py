@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid
+from . import decontam, langid, quality
 from .shared import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = quality.describe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    learnt = table(spark, sf_dir, "labels").where(~quality.folds(F.col("doc_id")))
+    scored = quality.score(described, quality.train(described, learnt))
+    return scored.select("doc_id", quality.folds(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.decontaminate(documents, table(spark, sf_dir, "benchmark")))
@@ -26,6 +33,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_quality": op3_quality,
     "op8_decontamination": op8_decontamination,
     "op10_language_id": op10_language_id,
 }
