@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality
+from . import decontam, langid, neardup, quality
 from .shared import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.folds(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classify(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.decontaminate(documents, table(spark, sf_dir, "benchmark")))
@@ -34,10 +38,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
+    "op7_minhash": op7_minhash,
     "op8_decontamination": op8_decontamination,
     "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {
+    "op7_minhash": neardup.SQL,
     "op8_decontamination": decontam.SQL,
 }
