@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, quality
+from . import decontam, langid, neardup, pii, quality
 from .shared import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(documents, table(spark, sf_dir, "benchmark")))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.digest(found, pii.train(found))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(key_crc(F.col("doc_id")) % 3 == 1, F.lit(False))
@@ -40,6 +45,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
     "op7_minhash": op7_minhash,
     "op8_decontamination": op8_decontamination,
+    "op9_personal_data": op9_personal_data,
     "op10_language_id": op10_language_id,
 }
 
