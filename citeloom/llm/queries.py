@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, pii, quality
+from . import chat, decontam, langid, neardup, pii, quality
 from .shared import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.folds(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_windows(rows.unionAll(extra)))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classify(table(spark, sf_dir, "documents"))
 
@@ -43,6 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
+    "op5_chat_format": op5_chat_format,
     "op7_minhash": op7_minhash,
     "op8_decontamination": op8_decontamination,
     "op9_personal_data": op9_personal_data,
@@ -50,6 +58,7 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op5_chat_format": chat.SQL,
     "op7_minhash": neardup.SQL,
     "op8_decontamination": decontam.SQL,
 }
