@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, neardup, pii, quality
+from . import chat, decontam, langid, neardup, pii, quality, shards
 from .shared import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = quality.describe(table(spark, sf_dir, "documents").select("doc_id", "text"))
     learnt = table(spark, sf_dir, "labels").where(~quality.folds(F.col("doc_id")))
@@ -49,6 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_kd_shards": op2_kd_shards,
     "op3_quality": op3_quality,
     "op5_chat_format": op5_chat_format,
     "op7_minhash": op7_minhash,
