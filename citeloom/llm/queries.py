@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, neardup, pii, quality, shards
+from . import bpe, chat, decontam, langid, neardup, pii, quality, shards
 from .shared import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoder = bpe.Encoder(spark, bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))).learn(documents)
+    return bpe.digest(bpe.encode(documents, encoder), encoder)
+
+
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -54,6 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_kd_shards": op2_kd_shards,
     "op3_quality": op3_quality,
     "op5_chat_format": op5_chat_format,
