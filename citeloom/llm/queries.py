@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, neardup, pii, quality, shards
+from . import ann, bpe, chat, decontam, langid, neardup, pii, quality, shards
 from .shared import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_windows(rows.unionAll(extra)))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0, k=20)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classify(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op2_kd_shards": op2_kd_shards,
     "op3_quality": op3_quality,
     "op5_chat_format": op5_chat_format,
+    "op6_nearest": op6_nearest,
     "op7_minhash": op7_minhash,
     "op8_decontamination": op8_decontamination,
     "op9_personal_data": op9_personal_data,
