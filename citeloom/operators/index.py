@@ -44,12 +44,18 @@ class PaperIndex:
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet")
         return True
 
+    def table(self, spark: SparkSession | None = None) -> DataFrame:
+        """The table as it is now, also after another session has written to it."""
+        spark = spark or self.spark
+        spark.catalog.refreshTable(self.name)
+        return spark.table(self.name)
+
     def count(self) -> int:
-        return self.spark.table(self.name).count()
+        return self.table().count()
 
     def upsert(self, papers: DataFrame, order: Column) -> tuple[int, int]:
         """Add the papers that are new; returns (rows sent, rows stored)."""
-        table = self.spark.table(self.name)
+        table = self.table(papers.sparkSession)
         new = missing(papers, table)
         sent = new.count()
         rows = self.encode(point(last_wins(new, order)))
