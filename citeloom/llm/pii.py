@@ -41,7 +41,7 @@ MORE = (
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "contact")
 #: Gazetteers: words that announce personal data, and mail domains that people use.
 ANNOUNCING = "token|key|secret|password|passwd|pwd|api|auth|bearer|tel|telephone|phone|fax|mobile|call|mail|email|contact|card|visa|iban|account|ip|host"
-DOMAINS = r"(?i)@(?:[a-z0-9-]+\.)*(?:example|gmail|outlook|hotmail|yahoo|proton|icloud|gmx|web)\."
+DOMAINS = r"(?i)[@.](?:example|gmail|outlook|hotmail|yahoo|proton|icloud|gmx|web)\."
 LABELERS = 6
 _STEP = 256
 
