@@ -16,8 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoder = bpe.Encoder(spark, bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))).learn(documents)
-    return bpe.digest(bpe.encode(documents, encoder), encoder)
+    vocabulary = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digest(bpe.encode(documents, bpe.Encoder(spark, vocabulary), keep=["doc_id"], check=True))
 
 
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,14 +28,18 @@ def test_bpe_round_trip(spark, vocabulary):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumns({"ids": F.lit("clash"), "_words": F.lit(1), "decoded": F.lit(2)})
+    spark.conf.set(bpe.BATCH_CONF, "2")  # words are remembered from batch to batch
     encoded = bpe.encode(df.repartition(3), bpe.Encoder(spark, vocabulary))
     assert "text" in encoded.columns
     for r in bpe.decode(encoded, vocabulary).collect():
         text = TEXTS[r["doc_id"]] or ""
         assert r["ids"] == library.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
-    row = bpe.digest(encoded.where("doc_id = 0"), vocabulary).first()
+    row = bpe.digest(bpe.encode(df.where("doc_id = 0"), bpe.Encoder(spark, vocabulary), keep=["doc_id"], check=True)).first()
+    assert row["decoded_sha256"] == hashlib.sha256(TEXTS[0].encode()).hexdigest()
     assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, library.encode_ordinary(TEXTS[0]))).encode()).hexdigest()
+    spark.conf.unset(bpe.BATCH_CONF)
     assert bpe.encode(df.where("false"), bpe.Encoder(spark, vocabulary), keep=["doc_id"]).count() == 0
+    assert spark.conf.get(bpe.BATCH_CONF) == str(bpe.BATCH_ROWS)
 
 
 def test_bpe_refuses_odd_vocabularies():
