@@ -45,10 +45,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the whole text, their number, and whether they decode to the text."""
-    encoder = bpe.Encoder(spark, bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))).learn(docs)
-    encoded = bpe.encode(docs, encoder)
-    whole = encoder.decoded(F.col("ids")) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), whole.alias("decodes"))
+    vocabulary = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    marked = docs.withColumn("_sum", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    encoded = bpe.encode(marked, bpe.Encoder(spark, vocabulary), keep=["doc_id", "lang", "source", "_sum"], check=True)
+    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.md5("decoded") == F.col("_sum")).alias("decodes"))
 
 
 STAGES: list[tuple[str, Stage]] = [
