@@ -299,6 +299,17 @@ def citation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", text.has_citation(F.col("s")).alias("has_citation"), text.strip_citations(F.col("s")).alias("retrieval_text"))
 
 
+# The same on whole texts: citation_flags and its SQL stop at the first newline
+_MARKED_TEXT = _MARKED.replace("split_part(text, chr(10), 1)", "coalesce(text, '')")
+
+
+@query(f"SELECT doc_id, regexp_matches(s, '{_CITATION_SQL}') AS has_citation, trim(regexp_replace(regexp_replace(s, '{_CITATION_SQL}', '', 'g'), '\\s+', ' ', 'g')) AS retrieval_text FROM (SELECT doc_id, {_MARKED_TEXT} AS s FROM documents)")
+def citation_flags_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marker = F.get(F.array(*map(F.lit, _MARKERS)), F.col("doc_id") % 9)
+    marked = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), marker).alias("s"))
+    return marked.select("doc_id", text.has_citation(F.col("s")).alias("has_citation"), text.strip_citations(F.col("s")).alias("retrieval_text"))
+
+
 @query("SELECT doc_id, trim('passage: ' || split_part(text, chr(10), 1) || '. ' || text) AS passage, 'Title: ' || split_part(text, chr(10), 1) || chr(10) || chr(10) || 'Abstract: ' || text || chr(10) || chr(10) || source || ':' || chr(10) || lang AS full_text FROM documents")
 def paper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = F.array(F.struct(F.col("source").alias("name"), F.col("lang").alias("text")))

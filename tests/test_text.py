@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import text
+from citeloom.plans import queries
 
 
 def column(spark, values, f, kind="string"):
@@ -48,3 +49,13 @@ def test_inputs(spark):
 def test_sentences_split(spark):
     s = "One two. Three! Four? Five"
     assert column(spark, [s], text.sentences) == [re.split(r"(?<=[.!?])\s+", s)]
+
+
+def test_citations_on_later_lines(spark, tmp_path):
+    texts = ["no title\nsee [4] here\n", "a\n\nb (Smith, 2020)\nSmith et al. (2020) c", "plain\nlines", "[1]\n[2", None, ""]
+    rows = [(i * 9 + m, t) for i, t in enumerate(texts) for m in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["has_citation"], r["retrieval_text"]) for r in queries.QUERIES["citation_flags_text"](spark, str(tmp_path)).collect()}
+    whole = {i: (t or "") + queries._MARKERS[i % 9] for i, t in rows}
+    assert got == {i: (bool(re.search(text.CITATION, s)), " ".join(re.sub(text.CITATION, "", s).split())) for i, s in whole.items()}
+    assert got[3] == (True, "no title see here")
