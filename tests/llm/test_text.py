@@ -89,6 +89,16 @@ def test_personal_data(spark):
     assert pii.digest(none, pii.train(none)).count() == 0
 
 
+def test_secrets_that_end_in_few_digits(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzabcdefghijkl"
+    tokens = [letters[:n] + tail for n in (17, 18, 19, 20, 38) for tail in ("", "7", "42", "123", "4242", "7z", "42zz")] + ["7" * 19 + "x", "7" * 20 + "xyz", "x" + "7" * 19, "X" * 19 + "7"]
+    texts = [f"password: {t} ok" for t in tokens] + [f"{t}\n{t}" for t in tokens] + [f"a1bcd {t}" for t in tokens]
+    found = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["more"] if s["kind"] == "secret"] for r in found.collect()}
+    mixed = lambda t: len(t) >= 20 and re.search("[0-9]", t) and re.search("[A-Za-z]", t)
+    assert got == {i: [m.span() for m in re.finditer("[A-Za-z0-9]+", t) if mixed(m.group())] for i, t in enumerate(texts)}
+
+
 def test_expectation_maximisation():
     good, bad = (1, 1, 1, 0, 0, 1), (-1, -1, 0, 0, 0, -1)
     tops, rates = pii.expectation_maximisation([(good, 90.0), (bad, 10.0), ((1, -1, 0, 0, 0, 1), 2.0)])
