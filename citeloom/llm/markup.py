@@ -29,7 +29,9 @@ from .shared import stored
 
 BROADCAST_HOSTS = 200_000
 _TOKEN = re.compile(r"""<(?:!--(?:-?>|.*?--!?>|.*\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|[!?/][^>]*+>)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: An attribute as a whole, name and value, so that nothing is found inside another one; an open quote runs to the end.
+_ATTRIBUTE = re.compile(r"""([^\s/][^\s/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>][^\s>]*+)))?""")
+_READ = frozenset("class id role hidden aria-hidden style itemprop".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title template iframe xmp noembed noframes noscript select svg math object video audio canvas".split())
 _BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split())
@@ -106,7 +108,10 @@ class Page:
             names, bad, good = tag, tag in _NOISE_TAGS, tag in ("article", "main")
             if attributes:
                 for a in _ATTRIBUTE.finditer(attributes):
-                    key, value = a.group(1).lower(), entities.unescape(a.group(2) or a.group(3) or a.group(4) or "")
+                    key = a.group(1).lower()
+                    if key not in _READ:
+                        continue
+                    value = entities.unescape(a.group(2) or a.group(3) or a.group(4) or "")
                     if key in ("class", "id"):
                         bad = bad or tag not in ("body", "html", "article", "main") and bool(_NOISE.search(value))
                         good = good or bool(_GOOD.search(value))

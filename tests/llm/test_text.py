@@ -163,3 +163,19 @@ def test_pages(spark):
 @pytest.mark.parametrize("source", ["<div>" * 20000 + "x", '<a "' * 5000, "</p>" * 20000, "<p>" * 20000, "&amp;" * 20000, "<b>" * 20000 + "y"])
 def test_pages_in_linear_time(source):
     markup.Page(source).extract(None)
+
+
+@pytest.mark.parametrize(
+    ("tag", "kept"),
+    [('a href="/hidden-gems/"', True), ('p title="the hidden cost"', True), ('div data-id="comments-1"', True), ("a href=/hidden/", True), ("p data-hidden", True), ('p data-aria-hidden="true"', True),
+     ("p title='x role=\"menu\" y'", True), ("p alt= hidden", True), ("p x-style='display:none'", True), ('p title = "a" data-role=menu', True), ("p =hidden", True),
+     ("p hidden", False), ('p title="a"HIDDEN', False), ("p/hidden", False), ('p aria-hidden = "TRUE"', False), ("p style='display: none'", False), ("div id=comments-1", False), ("p title=a role=menu", False), ("p hidden=''", False)],
+)
+def test_only_whole_attributes_mark_noise(tag, kept):
+    page = markup.Page(f'<div class="post"><p>one</p> <{tag}>two</{tag.split("/")[0].split()[0]}></div>')
+    assert page.extract(None) == ("one two" if kept else "one")
+
+
+@pytest.mark.parametrize("source", ["<p " + "a " * 100000 + ">x", "<p a" + " " * 200000 + ">x", "<p " + "='" * 100000 + ">x", "<p " + 'a="' * 100001 + ">x", "<p " + "=" * 200000 + ">x"])
+def test_attributes_in_linear_time(source):
+    markup.Page(source).extract(None)
