@@ -232,23 +232,34 @@ def bm25_eval_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BOOT = 200
 
 
-@query(
-    f"""WITH {_BM25}, {_SPARSE}, {_EXAMPLES}, {_PADDED}, {_measured('pd')},
+def _bootstrap_sql(n: int) -> str:
+    return f"""WITH {_BM25}, {_SPARSE}, {_EXAMPLES}, {_PADDED}, {_measured('pd')},
 {_measured('sp').replace('rk AS', 'rk2 AS').replace('pe AS', 'pe2 AS').replace('pl AS', 'pl2 AS').replace('m AS (', 'm2 AS (').replace('JOIN rk ', 'JOIN rk2 ').replace('FROM pe)', 'FROM pe2)').replace('FROM pl)', 'FROM pl2)')},
 pr AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, m.ndcg_at_10 AS a, m2.ndcg_at_10 AS b FROM m JOIN m2 USING (query_id)),
 s AS (SELECT count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(a - b) AS mean_diff FROM pr),
-dr AS (SELECT r, CAST('0x' || left(md5('13|' || r || '|' || j), 8) AS BIGINT) % s.n AS i FROM range({_BOOT}) x(r), s, range(s.n) y(j)),
+dr AS (SELECT r, CAST('0x' || left(md5('13|' || r || '|' || j), 8) AS BIGINT) % s.n AS i FROM range({n}) x(r), s, range(s.n) y(j)),
 bm_ AS (SELECT r, round(avg(a - b), 9) AS mean FROM dr JOIN pr USING (i) GROUP BY r),
 l AS (SELECT list_sort(list(mean)) AS v, count(*) FILTER (abs(mean - (SELECT round(mean_diff, 9) FROM s)) >= abs((SELECT round(mean_diff, 9) FROM s))) AS extreme FROM bm_)
-SELECT round(mean_a, 9) AS mean_a, round(mean_b, 9) AS mean_b, round(mean_diff, 9) AS mean_diff, v[{int(0.025 * _BOOT)} + 1] AS ci_low, v[{int(0.975 * _BOOT)} + 1] AS ci_high,
-  round(least(1.0, (extreme + 1) / {_BOOT + 1}), 9) AS p_value, CAST({_BOOT} AS BIGINT) AS n_boot FROM s, l"""
-)
-def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+SELECT round(mean_a, 9) AS mean_a, round(mean_b, 9) AS mean_b, round(mean_diff, 9) AS mean_diff, v[{int(0.025 * n)} + 1] AS ci_low, v[{int(0.975 * n)} + 1] AS ci_high,
+  round(least(1.0, (extreme + 1) / {n + 1}), 9) AS p_value, CAST({n} AS BIGINT) AS n_boot FROM s, l"""
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = _examples(spark, sf_dir)
     a = _evaluated(spark, sf_dir).select("query_id", F.col("ndcg_at_10").alias("a"))
     b = evaluation.per_example(examples.drop("text"), evaluation.ranked_lists(_sparse(spark, sf_dir))).select("query_id", F.col("ndcg_at_10").alias("b"))
-    pairs = a.join(b, "query_id").withColumn("i", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("long"))
-    return evaluation.paired_bootstrap(pairs, n_boot=_BOOT)
+    return a.join(b, "query_id").withColumn("i", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("long"))
+
+
+@query(_bootstrap_sql(_BOOT))
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.paired_bootstrap(_paired(spark, sf_dir), n_boot=_BOOT)
+
+
+# The same with all resamples of the operator's default
+@query(_bootstrap_sql(2000))
+def paired_bootstrap_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.paired_bootstrap(_paired(spark, sf_dir))
 
 
 _SENTENCES = r"""

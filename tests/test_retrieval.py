@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import ranking
 from citeloom.operators import evaluation, fusion, lexical, vectors
+from citeloom.plans import queries
 
 DOCS = [(1, "alpha beta beta"), (2, "beta gamma"), (3, None), (4, "delta"), (5, "alpha alpha gamma gamma")]
 ASKED = [(10, "alpha beta alpha"), (11, "nothing"), (12, "")]
@@ -107,6 +109,18 @@ def test_bootstrap(spark):
         evaluation.paired_bootstrap(pairs, n_boot=0)
 
 
+def test_bootstrap_of_the_default_size(spark, monkeypatch):
+    values = [(0.9, 0.1), (0.2, 0.6), (0.5, 0.5), (1.0, 0.0), (0.0, 0.3), (0.7, 0.2), (0.4, 0.1)]
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(values)], "i long, a double, b double")
+    monkeypatch.setattr(queries, "_paired", lambda *_: pairs)
+    r = queries.QUERIES["paired_bootstrap_2000"](spark, "").first()
+    d = [a - b for a, b in values]
+    means = sorted(sum(d[int(hashlib.md5(f"13|{k}|{j}".encode()).hexdigest()[:8], 16) % len(d)] for j in range(len(d))) / len(d) for k in range(2000))
+    assert (r["n_boot"], r["ci_low"], r["ci_high"]) == (2000, pytest.approx(means[50], abs=1e-8), pytest.approx(means[1950], abs=1e-8))
+    mean = sum(d) / len(d)
+    assert r["p_value"] == pytest.approx((sum(round(abs(m - mean), 8) >= round(abs(mean), 8) for m in means) + 1) / 2001, abs=1e-8)
+
+
 def test_dense_and_sparse(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0])], "doc_id long, vector array<float>")
     q = spark.createDataFrame([(9, [2.0, 0.0])], "query_id long, vector array<float>")
