@@ -17,7 +17,8 @@ Documents that share a band meet in a bucket. No bucket is expanded into all pai
 At the default bands a pair with similarity 0.8 misses every band with a probability of 5e-6.
 
 Null and empty texts have no words, an empty set and no links. A null doc_id is never linked: it stays, with a null
-component. Rows with the same doc_id and the same text share a class and are both kept.
+component. Rows with the same doc_id and the same text share a class and are both kept. Of rows with the same doc_id
+and different texts each is judged by its own text; those that carry the least id of their group are all kept.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytewords
 from .graph import components, sieve, without
@@ -82,7 +84,7 @@ def _describe(text: str, shingle: int, bands: int, rows: int):
             for _, _, held in bytewords.chunks(bytewords.byte_column(batch.column(text))):
                 for s in shingle_sets(held, shingle):
                     sizes.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    digests.append(_digest(s))
                     if len(s):
                         v, key = sketch(s).reshape(bands, rows), band
                         for j in range(rows):
@@ -97,11 +99,26 @@ def _describe(text: str, shingle: int, bands: int, rows: int):
     return run
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.tobytes() for _, _, held in bytewords.chunks(bytewords.byte_column(batch.column("text"))) for s in shingle_sets(held, shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "elements"])
+            found = [(_digest(s), s.tobytes()) for _, _, held in bytewords.chunks(bytewords.byte_column(batch.column("text"))) for s in shingle_sets(held, shingle)]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], names=["digest", "elements"])
+
+    return run
+
+
+def _digests(text: str, shingle: int, into: str):
+    """All columns, and the digest of the text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_digest(s) for _, _, held in bytewords.chunks(bytewords.byte_column(batch.column(text))) for s in shingle_sets(held, shingle)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, into])
 
     return run
 
@@ -185,13 +202,14 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, documents: DataFrame, text: str, shingle: int, threshold: int, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between classes (rep, keys) that join all whose sets are similar enough."""
-    keyed = stored(classes.select(F.col("rep").alias("id"), F.explode("keys").alias("key")), "band-keys")
+    """Links (a, b) between classes (id, rep, digest, keys) that join all whose sets are similar enough."""
+    keyed = stored(classes.select("id", F.explode("keys").alias("key")), "band-keys")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
     members = stored(keyed.join(buckets, "key").select("id", "key", "hub", "n"), "buckets")
-    wanted = members.select("id").distinct()
-    rows = sieve(documents.select(F.col("doc_id").alias("id"), F.col(text).alias("text")).where("id is not null"), wanted, "id")
-    sets = stored(rows.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), "id long, elements binary").dropDuplicates(["id"]), "sets")
+    wanted = stored(classes.select("id", "rep", "digest").join(members.select("id").distinct(), "id", "left_semi"), "wanted")
+    rows = sieve(documents.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).where("rep is not null"), wanted, "rep")
+    found = rows.join(wanted, "rep", "left_semi").mapInArrow(_sets(shingle), "digest binary, elements binary").dropDuplicates(["digest"])
+    sets = stored(found.join(wanted, "digest").select("id", "elements"), "sets")
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     first = stored(_verified(pairs, sets, threshold), "links")
 
@@ -215,23 +233,43 @@ def links(classes: DataFrame, documents: DataFrame, text: str, shingle: int, thr
     return stored(found, "links")
 
 
-def classify(documents: DataFrame, text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``documents`` (doc_id and a text)."""
+def _classified(documents: DataFrame, text: str, shingle: int, threshold: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, n_shingles, digest, component_id and kept for each row of ``documents``."""
     own = documents.select("doc_id", F.col(text).alias("text"))
     described = stored(own.mapInArrow(_describe("text", shingle, bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketches")
     classes = described.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
-    classes = stored(classes, "classes")
+    classes = stored(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
+    # a class goes by its least doc_id, and by a number where classes share that
+    shared = not classes.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    classes = classes.select("digest", "rep", "keys", F.col("number" if shared else "rep").alias("id"))
     roots = components(links(classes, own, "text", shingle, threshold))
-    named = classes.select("digest", F.col("rep").alias("id")).join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component"))
-    out = described.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
+    named = classes.select("digest", "id", "rep").join(roots, "id", "left").select("digest", "rep", F.coalesce("root", "id").alias("component"))
+    if shared:
+        least = stored(named.groupBy("component").agg(F.min("rep").alias("least")), "least-ids")
+        named = named.join(least, "component").withColumn("component", F.col("least"))
+    out = described.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named.select("digest", "component"), "digest", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "digest", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def classify(documents: DataFrame, text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``documents`` (doc_id and a text)."""
+    return _classified(documents, text, shingle, threshold, bands, rows).drop("digest")
 
 
 def deduplicate(documents: DataFrame, text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """``documents`` without those that aren't the least id of their group."""
-    found = stored(classify(documents, text, shingle, threshold), "near-duplicates")
-    return without(documents, found.where("not kept").select("doc_id"), "doc_id")
+    found = stored(_classified(documents, text, shingle, threshold, BANDS, ROWS), "near-duplicates")
+    gone = found.where("not kept").select("doc_id", F.col("digest").alias("_digest"))
+    # ids that some row keeps and another loses: there the text decides
+    split = stored(found.groupBy("doc_id").agg(F.min("kept").alias("all"), F.max("kept").alias("any")).where("any and not all").select("doc_id"), "split-ids")
+    if split.isEmpty():
+        return without(documents, gone.select("doc_id"), "doc_id")
+    whole = without(documents, gone.select("doc_id").unionAll(split), "doc_id")
+    schema = T.StructType([*documents.schema.fields, T.StructField("_digest", T.BinaryType())])
+    part = sieve(documents, split, "doc_id").join(split, "doc_id", "left_semi").select(documents.columns).mapInArrow(_digests(text, shingle, "_digest"), schema)
+    # a row without words has a null digest, equals none and stays
+    return whole.unionAll(part.join(gone.distinct(), ["doc_id", "_digest"], "left_anti").select(documents.columns))
 
 
 #: DuckDB: the same from all pairs of texts that share a shingle, with components by walking the links.

@@ -83,6 +83,24 @@ def test_near_duplicates_nulls_and_empty(spark):
     assert neardup.classify(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("small", "block"), [(48, 1024), (2, 8)])
+def test_near_duplicates_with_repeated_ids(spark, monkeypatch, small, block):
+    monkeypatch.setattr(neardup.links, "__defaults__", (small, block))
+    texts = near_copies()
+    rows = [(i % 40, t) for i, t in texts] + [(0, "quite another text"), (7, "quite another text"), (7, "alone in the world")]
+    unique = brute_groups([(i, t) for i, (_, t) in enumerate(rows)])
+    least = {}
+    for i, (_, root) in unique.items():
+        least[root] = min(least.get(root, rows[i][0]), rows[i][0])
+    # a text without words is a group of its own
+    want = sorted((rows[i][0], n, least[root] if n else rows[i][0]) for i, (n, root) in unique.items())
+    df = spark.createDataFrame([(d, t, str(i)) for i, (d, t) in enumerate(rows)], "doc_id long, text string, row string").repartition(3)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.classify(df).collect()) == want
+    kept = {r["row"] for r in neardup.deduplicate(df).collect()}
+    assert kept == {str(i) for i, (n, root) in unique.items() if not n or least[root] == rows[i][0]}
+    assert any(rows[i][0] == rows[j][0] for i in map(int, kept) for j in range(len(rows)) if str(j) not in kept)
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     sketch = neardup.Sketcher(400)
