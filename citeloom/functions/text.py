@@ -19,15 +19,17 @@ MIN_TOKENS = 4
 PASSAGE_PREFIX = "passage: "
 QUERY_PREFIX = "Instruct: Given a scientific claim, retrieve research papers whose title and abstract provide evidence or prior work supporting this claim\nQuery: "
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
-NORMALISERS = {
-    "urls": (r"https?://\S+|www\.\S+", ""),
-    "inline_footnotes": (r"\bfoot_\d+\b", ""),
-    "glued_footnote": (r"^\s*\d+(?=[A-Z])", ""),
-    "spaced_footnote": (r"^\s*\d{1,2}\s+(?=[A-Z])", ""),
-    "section_number": (r"^\s*\d+(?:\.\d+)+\s+", ""),
-    "punctuation_spacing": (r"\s+([,.;:!?])", "$1"),
-    "open_paren": (r"\(\s+", "("),
-    "close_paren": (r"\s+\)", ")"),
+#: White space as Python's ``str.strip`` knows it.
+SPACE = r"[\p{IsWhite_Space}\x1C-\x1F]"
+
+
+#: What ``tidy`` takes out of running text, by name, and what it puts there instead.
+TIDY = {
+    "links": (r"(?i)\b(?:(?:https?|ftp)://|www\.)[^\s]+", ""),
+    "footnote_marks": (r"(?i)\bfoot[_ ]\d+\b", ""),
+    "leading_numbers": (r"^\s*\d{1,3}(?:\.\d+)*\.?\s*(?=\p{Lu})", ""),
+    "space_before_marks": (r"\s+(?=[,.;:!?)\]])", ""),
+    "space_after_brackets": (r"(?<=[(\[])\s+", ""),
 }
 
 
@@ -35,6 +37,11 @@ def _text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def strip(column: Column) -> Column:
+    """Without white space of any kind at both ends; null for null."""
+    return F.regexp_replace(column, rf"^{SPACE}+|{SPACE}+$", "")
+
+
 def clean(column: Column) -> Column:
     """White space runs become one space; trimmed."""
     return F.trim(F.regexp_replace(_text(column), r"(?U)\s+", " "))
@@ -44,15 +51,16 @@ def without_bullets(column: Column) -> Column:
     return F.regexp_replace(_text(column), BULLETS, "")
 
 
-def token_count(column: Column) -> Column:
-    cleaned = clean(column)
-    return F.when(cleaned == "", 0).otherwise(F.size(F.split(cleaned, " ")))
+def token_count(column: Column, cleaned: bool = False) -> Column:
+    """Words of a text, which may have been ``cleaned`` before."""
+    plain = column if cleaned else clean(column)
+    return F.when(plain == "", 0).otherwise(F.size(F.split(plain, " ")))
 
 
-def is_noise(column: Column) -> Column:
+def is_noise(column: Column, cleaned: bool = False) -> Column:
     """Fewer than four words, no letter or digit, or like a heading."""
-    cleaned = clean(column)
-    return (token_count(column) < MIN_TOKENS) | cleaned.rlike(BARE_PUNCTUATION) | cleaned.rlike(HEADING_LIKE)
+    plain = column if cleaned else clean(column)
+    return (token_count(plain, True) < MIN_TOKENS) | plain.rlike(BARE_PUNCTUATION) | plain.rlike(HEADING_LIKE)
 
 
 def has_citation(column: Column) -> Column:
@@ -81,11 +89,13 @@ def passage(title: Column, abstract: Column) -> Column:
     return F.trim(F.concat(F.lit(PASSAGE_PREFIX), _text(title), F.lit(". "), _text(abstract)))
 
 
-def query(column: Column) -> Column:
+def instructed(column: Column) -> Column:
+    """A query as the dense encoder wants it."""
     return F.concat(F.lit(QUERY_PREFIX), _text(column))
 
 
-def retrieval_text(stripped: Column, text: Column) -> Column:
+def searched(stripped: Column, text: Column) -> Column:
+    """What a sentence is searched by: its text without citations, where there is one."""
     return F.coalesce(stripped, text)
 
 
@@ -104,10 +114,20 @@ def uuid5(name: Column, namespace: str = DNS_NAMESPACE) -> Column:
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
 
 
-def normalise(column: Column, *names: str) -> Column:
-    """The named replacements (all of them, if none is named), then ``clean``."""
+def tidy(column: Column, *names: str) -> Column:
+    """The named rules of ``TIDY`` (all of them, if none is named), then ``clean``."""
     out = _text(column)
-    for name in names or NORMALISERS:
-        pattern, by = NORMALISERS[name]
+    for name in names or TIDY:
+        pattern, by = TIDY[name]
         out = F.regexp_replace(out, pattern, by)
     return clean(out)
+
+
+def markdown_title(column: Column) -> Column:
+    """The first heading of the first level; empty if there is none."""
+    return F.regexp_extract(_text(column), r"(?m)^#[ \t]+(.+?)[ \t]*$", 1)
+
+
+def markdown_section(column: Column, name: str) -> Column:
+    """The text below the first heading that is ``name`` in any case, up to the next heading; empty if there is none."""
+    return strip(F.regexp_extract(_text(column), rf"(?im)^#+[ \t]+{name}[ \t]*$\R((?:(?!#+[ \t]).*(?:\R|\z))*+)", 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import time
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
 BATCH = 10
 INTENTS = ("BACKGROUND", "METHOD", "RESULT")
 ANSWER = "array<struct<sentence_index:int,citation_worthy:boolean,citation_intent:string,confidence:double>>"
@@ -76,11 +78,14 @@ def classify(records: DataFrame, papers: DataFrame, client: Callable[[str, str],
     """
     batched = batches(records, size)
 
+    asked_before = []  # of this task: no pause before its first call, nor after its last
+
     def ask(rows: pd.DataFrame, title: str, abstract: str) -> list[dict]:
         lines = "\n".join(f"{i}. {t}" for i, t in enumerate(rows["text"]))
-        answer = client(SYSTEM_PROMPT, f"Title: {title}\nAbstract: {abstract}\n\nSentences:\n{lines}")
-        if pause:
+        if pause and asked_before:
             time.sleep(pause)
+        asked_before.append(True)
+        answer = completed(client, SYSTEM_PROMPT, f"Title: {title}\nAbstract: {abstract}\n\nSentences:\n{lines}")
         try:
             return read_answer(answer, len(rows))
         except ValueError:
@@ -116,11 +121,63 @@ def read_answer(answer: str, n: int) -> list[dict]:
         if first < 0 or last < first:
             raise ValueError("truncated array" if first >= 0 else "no JSON in the answer") from None
         items = json.loads(text[first : last + 1])  # JSONDecodeError is a ValueError
-    if not isinstance(items, list) or len(items) != n or sorted(x.get("sentence_index", -1) for x in items) != list(range(n)):
+    if not isinstance(items, list) or not all(isinstance(x, dict) for x in items):
+        raise ValueError("not an array of objects")
+    indices = [x.get("sentence_index") for x in items]
+    if not all(isinstance(i, int) and not isinstance(i, bool) for i in indices):
+        raise ValueError("an index is no integer")
+    if sorted(indices) != list(range(n)):
         raise ValueError("not one item for each sentence")
     return items
 
 
+class EmptyAnswer(RuntimeError):
+    """The model answered with nothing."""
+
+
+def completed(client: Callable[[str, str], str], system: str, prompt: str) -> str:
+    """The client's answer; what it raises is logged and raised again, and an empty answer is an error."""
+    try:
+        answer = client(system, prompt)
+        if not answer:
+            raise EmptyAnswer("empty answer of the model")
+        return answer
+    except Exception:
+        log.exception("the model's call failed")
+        raise
+
+
+def to_classify(examples: DataFrame) -> DataFrame:
+    """Sentence records of labelled examples (example_id, text, section, citation_worthy), without their gold labels.
+
+    A sentence whose worthiness isn't known counts as cited. All are one paper's, in order of ``ordinal`` if there is one, else of the id.
+    """
+    order = Window.orderBy(*[c for c in ("ordinal", "example_id") if c in examples.columns])
+    return examples.select(
+        "example_id", F.lit("evaluation").alias("paper_id"), F.lit(1).alias("section_ord"), F.coalesce(F.nullif("section", F.lit("")), F.lit("UNKNOWN")).alias("section"),
+        F.row_number().over(order).alias("sent_ord"), "text", F.lit(0.5).alias("position_in_section"), F.coalesce("citation_worthy", F.lit(True)).alias("has_citation"),
+    )
+
+
+def labelled_both(examples: DataFrame, most: int | None = 100) -> DataFrame:
+    """The first ``most`` examples, in order of ``ordinal`` (of the id without one), that have an intent and a worthiness."""
+    both = examples.where(F.col("citation_intent").isNotNull() & F.col("citation_worthy").isNotNull())
+    return both if most is None else both.orderBy("ordinal" if "ordinal" in examples.columns else "example_id").limit(most)
+
+
+def evaluate(examples: DataFrame, client: Callable[[str, str], str], size: int = BATCH, pause: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Intent and worthiness metrics of a model over labelled examples.
+
+    ``examples``: example_id, text, section, citation_intent, citation_worthy; the model sees neither label.
+    """
+    spark = examples.sparkSession
+    paper = spark.createDataFrame([("evaluation", "Labelled sentences", "Sentences with known labels, from several papers.")], "paper_id string, title string, abstract string")
+    found = classify(to_classify(examples), paper, client, size, pause)
+    pairs = examples.select("example_id", F.col("citation_intent").alias("gold_intent"), F.col("citation_worthy").alias("gold_worthy")).join(found.select("example_id", "citation_intent", "citation_worthy"), "example_id")
+    intents = intent_metrics(pairs.select(F.col("gold_intent").alias("gold"), F.col("citation_intent").alias("pred")))
+    return intents, worthiness_metrics(pairs.select(F.col("gold_worthy").alias("gold"), F.col("citation_worthy").alias("pred")))
+
+
 def intent_confusion(rows: DataFrame) -> DataFrame:
     """gold, pred and n for every gold class and prediction (OTHER for none), zeros included; rows without gold are left out."""
     pred = F.when(F.col("pred").isin(*INTENTS), F.col("pred")).otherwise("OTHER")

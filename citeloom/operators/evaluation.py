@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking
@@ -44,6 +44,17 @@ def facet(is_multi) -> F.col:
     return F.when(is_multi.isNull(), "unknown").otherwise(F.when(is_multi, "multi").otherwise("single"))
 
 
+def numbered(rows: DataFrame, key: str, pieces: int = 64) -> DataFrame:
+    """``rows`` (stored) with ``i`` from 0 in order of ``key``: numbers within ranges of the key, after the totals of the ranges before."""
+    bounds = rows.select(F.percentile_approx(key, [j / pieces for j in range(1, pieces)], 10000).alias("b")).first()["b"] or []
+    piece = F.size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    placed = rows.withColumn("_piece", piece)
+    totals = placed.groupBy("_piece").agg(F.count("*").alias("n"))
+    before = totals.select("_piece", (F.sum("n").over(Window.orderBy("_piece")) - F.col("n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_piece").orderBy(key))
+    return placed.withColumn("_n", within).join(F.broadcast(before), "_piece").withColumn("i", F.col("_before") + F.col("_n") - 1).drop("_piece", "_before", "_n")
+
+
 def paired_bootstrap(pairs: DataFrame, n_boot: int = 2000, alpha: float = 0.05, seed: int = 13) -> DataFrame:
     """One row over ``pairs`` (i from 0 without gaps, a, b): means, percentile interval of the mean difference, two-sided p.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +16,6 @@ def missing(papers: DataFrame, index: DataFrame, key: str = "paper_id") -> DataF
     return papers.join(index.select(key), key, "left_anti")
 
 
-def present(keys: DataFrame, index: DataFrame, key: str = "paper_id") -> DataFrame:
-    return keys.join(index.select(key), key, "left_semi")
-
-
 def last_wins(papers: DataFrame, order: Column, key: str = "paper_id") -> DataFrame:
     """Of rows with the same key the one that came last."""
     rest = [c for c in papers.columns if c != key]
@@ -28,6 +27,22 @@ def point(papers: DataFrame) -> DataFrame:
     return papers.withColumn("point_id", text.uuid5(F.col("paper_id").cast("string"))).withColumn("passage", text.passage(F.col("title"), F.col("abstract")))
 
 
+def encoded(rows: DataFrame, encoder: Callable[[list[str]], tuple[list[list[float]], list[dict[int, float]]]], size: int = 64) -> DataFrame:
+    """``rows`` with ``dense`` and ``sparse`` of each passage. ``encoder``: a list of at most ``size`` passages -> its dense and sparse vectors."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            dense, sparse = [], []
+            for i in range(0, len(column), size):
+                one, other = encoder(column.slice(i, size).to_pylist())
+                dense += [list(map(float, x)) for x in one]
+                sparse += [[(int(t), float(w)) for t, w in x.items()] for x in other]
+            yield pa.StructArray.from_arrays([pa.array(dense, pa.list_(pa.float32())), pa.array(sparse, pa.map_(pa.int32(), pa.float32()))], names=["dense", "sparse"])
+
+    encode = F.arrow_udf(run, "struct<dense:array<float>,sparse:map<int,float>>").asNondeterministic()
+    return rows.withColumn("_encoded", encode("passage")).select(*rows.columns, "_encoded.dense", "_encoded.sparse")
+
+
 class PaperIndex:
     """A table of points. ``encode``: DataFrame -> DataFrame, adds the vectors to the rows that are new."""
 

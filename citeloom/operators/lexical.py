@@ -22,9 +22,14 @@ def query_terms(queries: DataFrame, query_id: str, body: str) -> DataFrame:
 
 
 def term_counts(documents: DataFrame, doc_id: str, body: str) -> DataFrame:
-    """term, df and cf over the whole corpus."""
-    exploded = documents.select(F.col(doc_id).alias("doc_id"), F.explode(text.tokens(F.col(body))).alias("term"))
-    return exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """term, df and cf over the whole corpus, in one shuffle: in the sorted words of a row each term's first is marked."""
+
+    def marked(words) -> F.col:
+        return F.transform(words, lambda t, i: F.struct(t.alias("term"), F.when(F.get(words, i - 1).eqNullSafe(t), 0).otherwise(1).alias("first")))
+
+    sorted_once = F.get(F.transform(F.array(F.array_sort(text.tokens(F.col(body)))), marked), F.lit(0))
+    exploded = documents.select(F.explode(sorted_once).alias("x")).select("x.term", "x.first")
+    return exploded.groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
 
 
 def postings(documents: DataFrame, terms: DataFrame, doc_id: str, body: str) -> DataFrame:
@@ -65,3 +70,43 @@ def padded(ranked: DataFrame, queries: DataFrame, documents: DataFrame, k: int,
     asked = queries.select(F.col(query_id).alias("query_id")).distinct()
     rest = asked.join(F.broadcast(first)).join(ranked.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top(ranked.select("query_id", "doc_id", "score").unionByName(rest), k)
+
+
+GRAM = 3
+
+
+def _grams(words, n: int) -> F.col:
+    """Hashes of the n words from each place on, with n; an empty array where there are fewer."""
+
+    def of(w) -> F.col:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(F.lit(n), *(F.get(w, i + j) for j in range(n))))
+
+    return F.get(F.transform(F.array(words), of), F.lit(0))  # the words are split once
+
+
+def containing(passages: DataFrame, documents: DataFrame, query_id: str = "query_id", body: str = "text") -> DataFrame:
+    """``documents`` with the ``query_id`` of every passage that their text contains, letter for letter.
+
+    A passage's words but for the first and the last stand as whole words in such a document. The least hash of three of
+    them in a row (or of all, if they are fewer) is the passage's key; documents meet passages by key and are then
+    compared. Passages of one or two words have no key: they are compared with all documents, in blocks that are broadcast.
+    """
+    words = F.split(body, r"\s+")
+    inner = passages.select(F.col(query_id), F.col(body).alias("passage"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))).alias("w")).where("passage is not null")
+    sized = inner.withColumn("n", F.least(F.size("w"), F.lit(GRAM)))
+    lengths = sorted(r["n"] for r in sized.select("n").distinct().collect())
+    found = None
+    for n in (x for x in lengths if x):
+        asked = sized.where(F.col("n") == n).select(query_id, "passage", F.array_min(_grams(F.col("w"), n)).alias("key"))
+        keyed = documents.select("*", F.explode(F.array_distinct(_grams(words, n))).alias("key"))
+        hit = keyed.join(asked, "key").where(F.col(body).contains(F.col("passage"))).drop("key", "passage")
+        found = hit if found is None else found.unionByName(hit)
+    if 0 in lengths:
+        short = sized.where("n = 0").select(query_id, "passage")
+        blocks = max(1, -(-short.count() // 2000))
+        for b in range(blocks):
+            part = short.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
+            hit = documents.join(F.broadcast(part), F.col(body).contains(F.col("passage"))).drop("passage")
+            found = hit if found is None else found.unionByName(hit)
+    return documents.limit(0).join(passages.select(query_id).limit(0)) if found is None else found

@@ -25,7 +25,7 @@ def extract(sections: DataFrame, sentences=text.sentences) -> DataFrame:
     ``sentences``: a column function that splits a body into an array; a model can stand in for the default rule.
     """
     split = sections.select("paper_id", "section_ord", "section", F.posexplode(sentences(F.col("body"))).alias("sent_ord", "raw"))
-    kept = split.withColumn("text", text.clean(text.without_bullets(F.col("raw")))).where(~text.is_noise(F.col("text")))
+    kept = split.withColumn("text", text.clean(text.without_bullets(F.col("raw")))).where(~text.is_noise(F.col("text"), cleaned=True))
     w = Window.partitionBy("paper_id", "section_ord", "section").orderBy("sent_ord")
     return kept.select(
         "paper_id", "section_ord", "section", "sent_ord", "text", F.percent_rank().over(w).alias("position_in_section"), text.has_citation(F.col("text")).alias("has_citation"),

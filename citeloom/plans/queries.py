@@ -6,14 +6,16 @@ queries (relevant: the documents that contain one), orders for citing papers and
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import classify, evaluation, fusion, graph, hideseek, index, lexical, reports, sentences, vectors
-from ..sources import benchmarks
+from ..sources import benchmarks, tei
+from ..sources.scratch import stored
 from . import retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,9 +90,7 @@ def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = vectors.term_weights(_asked(spark, sf_dir), "query_id", "text", "query_id")
-    held = vectors.term_weights(read(spark, sf_dir, "documents"), "doc_id", "text", "doc_id")
-    return vectors.sparse_top(asked, held, retrieval.PREFETCH)
+    return retrieval.sparse(read(spark, sf_dir, "documents"))(_asked(spark, sf_dir))
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +123,30 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).where(F.col("rank") <= 10)
 
 
+_DENSE = """
+dv AS (SELECT b.item_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings d),
+de AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id FROM dv QUALIFY rank <= 50)
+"""
+
+
+@query(
+    f"""WITH {_BM25}, {_SPARSE}, {_DENSE}, hu AS (SELECT query_id, doc_id, rank FROM de UNION ALL SELECT query_id, doc_id, rank FROM sp),
+hs AS (SELECT query_id, doc_id, round(sum(1.0 / (rank + 1)), 6) AS score, min(rank) AS best FROM hu GROUP BY ALL),
+hy AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, doc_id) AS rank, doc_id, score FROM hs QUALIFY rank <= 10)
+SELECT query_id, rank, hy.doc_id, score, CAST(hy.doc_id AS VARCHAR) AS paper_id, coalesce(split_part(d.text, chr(10), 1), '') AS title, CAST(NULL AS INTEGER) AS year, d.source AS venue, CAST(NULL AS INTEGER) AS cited_by_count
+FROM hy LEFT JOIN documents d USING (doc_id)"""
+)
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages are searched by their words among the documents and by the vector of their number among the vectors."""
+    documents, held = _docs(spark, sf_dir), read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    asked = _asked(spark, sf_dir)
+    dense = asked.join(held.withColumnRenamed("doc_id", "query_id"), "query_id").select("query_id", "vector")
+    words = vectors.term_weights(asked, "query_id", "text", "query_id")
+    retrieval.checked(documents, retrieval.TOP, retrieval.PREFETCH)
+    fused = retrieval.hybrid(dense, held, words, vectors.term_weights(documents, "doc_id", "text", "doc_id", words))
+    return fusion.with_payload(fused, documents.select("doc_id", "title", F.col("source").alias("venue")))
+
+
 _RERANKED = f"""
 cand AS (SELECT fu.query_id, fu.rank AS old_rank, fu.doc_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS q,
   list_distinct(regexp_extract_all(lower(coalesce(nullif(split_part(d.text, chr(10), 1), ''), CAST(d.doc_id AS VARCHAR))), '[a-z0-9]+')) AS t
@@ -190,23 +214,17 @@ def _measured(ranked: str) -> str:
 
 
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages with the documents that contain them."""
     asked, documents = _asked(spark, sf_dir), read(spark, sf_dir, "documents")
-    # the passages are a stated query set against all documents, in blocks of a bounded size
-    blocks = max(1, -(-asked.count() // 2000))
-    hits = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.col("text").alias("passage"))
-        found = documents.select("doc_id", "lang", "text").join(F.broadcast(part), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id", "lang")
-        hits = found if hits is None else hits.unionAll(found)
+    hits = lexical.containing(asked, documents).select("query_id", "doc_id", "lang")
     found = hits.groupBy("query_id").agg(F.collect_list(F.col("doc_id").cast("string")).alias("relevant"), F.min_by("lang", "doc_id").alias("section"))
-    n = F.size("relevant")
     joined = asked.join(found, "query_id", "left")
-    facet = evaluation.facet(F.when(F.col("relevant").isNotNull(), n > 1))
+    facet = evaluation.facet(F.when(F.col("relevant").isNotNull(), F.size("relevant") > 1))
     return joined.select("query_id", "text", F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant"), "section", F.lit(None).cast("string").alias("intent"), facet.alias("facet"))
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.evaluate_bm25(_examples(spark, sf_dir), read(spark, sf_dir, "documents"))
+    return retrieval.evaluate(stored(_examples(spark, sf_dir), "examples"), retrieval.bm25(read(spark, sf_dir, "documents")))
 
 
 @query(f"WITH {_BM25}, {_EXAMPLES}, {_PADDED}, {_measured('pd')} SELECT * FROM m")
@@ -245,10 +263,11 @@ SELECT round(mean_a, 9) AS mean_a, round(mean_b, 9) AS mean_b, round(mean_diff,
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    examples = _examples(spark, sf_dir)
-    a = _evaluated(spark, sf_dir).select("query_id", F.col("ndcg_at_10").alias("a"))
-    b = evaluation.per_example(examples.drop("text"), evaluation.ranked_lists(_sparse(spark, sf_dir))).select("query_id", F.col("ndcg_at_10").alias("b"))
-    return a.join(b, "query_id").withColumn("i", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("long"))
+    """i (from 0 in order of query_id), a and b: the two predictors' scores of each example."""
+    examples, documents = stored(_examples(spark, sf_dir), "examples"), read(spark, sf_dir, "documents")
+    score = lambda predict, name: retrieval.evaluate(examples, predict).select("query_id", F.col("ndcg_at_10").alias(name))
+    pairs = score(retrieval.bm25(documents), "a").join(score(retrieval.sparse(documents), "b"), "query_id")
+    return stored(evaluation.numbered(stored(pairs, "pairs"), "query_id"), "numbered")
 
 
 @query(_bootstrap_sql(_BOOT))
@@ -519,3 +538,164 @@ SELECT batch, x.sentence_index AS sentence_index, x.citation_worthy AS citation_
 def classification_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _answers(spark, sf_dir).select("batch", F.explode(classify.parsed(F.col("answer"))).alias("x")).select("batch", "x.*")
     return classify.applied(items).select("batch", "sentence_index", "citation_worthy", "citation_intent", F.round("worthiness_score", 9).alias("worthiness_score"))
+
+
+# Rows of two benchmark shapes, written as JSON from events: texts, labels and ids under several keys, blank, missing or of the wrong type
+def _shaped(keys: dict[str, tuple[str, ...]]) -> F.col:
+    texts, labels, ids = keys["text"], keys["label"], keys["id"]
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    n, kind = F.col("event_id").cast("string"), F.col("event_type")
+    by = lambda k, *parts: F.coalesce(*(F.when(F.col("event_id") % k == i, p) for i, p in enumerate(parts)))
+    pair = lambda key, value: F.concat(F.lit(f'"{key}": '), value)
+    body = by(
+        5, pair(texts[0], quoted(F.concat(F.lit("  "), kind, F.lit(" "), n, F.lit(" ")))), F.concat(pair(texts[0], F.lit('" \\t"')), F.lit(", "), pair(texts[1], quoted(F.concat(F.lit("S "), n)))),
+        F.concat(pair(texts[0], F.lit("7")), F.lit(", "), pair(texts[2], quoted(F.concat(F.lit("T "), n)))), pair(texts[3], quoted(F.concat(F.lit("\\t\\u00a0C "), n, F.lit("\\n")))), pair("other", F.lit("0")),
+    )
+    given = quoted(F.get(F.array(*map(F.lit, _LABELS)), F.col("event_id") % 13))
+    label = by(4, pair(labels[0], given), F.concat(pair(labels[0], F.lit("null")), F.lit(", "), pair(labels[1], given)), pair(labels[-1], given), F.concat(pair(labels[0], F.lit('"  "')), F.lit(", "), pair(labels[1], F.lit('"method"'))))
+    name = by(3, pair(ids[0], n), F.concat(pair(ids[0], F.lit('" "')), F.lit(", "), pair(ids[1], quoted(F.concat(F.lit("x"), n)))), pair("none", F.lit("null")))
+    worthy = by(4, pair("citation_worthy", F.lit("true")), pair("citation_worthy", F.lit("false")), pair("citation_worthy", F.lit('"true"')), pair("none2", F.lit("1")))
+    return F.concat(F.lit("{"), F.concat_ws(", ", body, label, name, worthy, pair("section", quoted(kind)), pair("year", F.col("user_id").cast("string"))), F.lit("}"))
+
+
+def _shaped_sql(prefix: str, intent: str) -> str:
+    return f"""SELECT CASE event_id % 3 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN 'x' || event_id ELSE '{prefix}' || event_id END AS example_id,
+  CASE event_id % 5 WHEN 0 THEN event_type || ' ' || event_id WHEN 1 THEN 'S ' || event_id WHEN 2 THEN 'T ' || event_id WHEN 3 THEN 'C ' || event_id ELSE '' END AS text,
+  CASE WHEN event_id % 4 = 3 THEN 'UNKNOWN' ELSE trim(l) END AS gold_label, CASE WHEN event_id % 4 <> 3 THEN {intent} END AS citation_intent,
+  CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS citation_worthy, event_type AS section, CAST(user_id AS VARCHAR) AS year
+FROM (SELECT *, {_LABEL_SQL} AS l FROM events)"""
+
+
+def _adapted(spark: SparkSession, sf_dir: str, adapter, keys: dict[str, tuple[str, ...]]) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select(F.parse_json(_shaped(keys)).alias("v"), F.col("event_id").alias("ordinal"))
+    return adapter(rows).select("example_id", "text", "gold_label", "citation_intent", "citation_worthy", "section", F.col("metadata")["year"].alias("year"))
+
+
+@query(_shaped_sql("acl-arc-", f"""coalesce({_case(_KEY, benchmarks.ACL_ARC_INTENTS)}, {_case(f"ltrim(regexp_replace({_KEY}, '_(background|method|result)$', ''), '_')", benchmarks.ACL_ARC_INTENTS)})"""))
+def acl_arc_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adapted(spark, sf_dir, benchmarks.acl_arc, benchmarks.ACL_ARC_KEYS)
+
+
+@query(_shaped_sql("scicite-", _case("regexp_replace(trim(lower(l)), '\\s+', '_', 'g')", benchmarks.SCICITE_INTENTS)))
+def scicite_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adapted(spark, sf_dir, benchmarks.scicite, benchmarks.SCICITE_KEYS)
+
+
+@query(
+    f"""WITH {_CITING} SELECT CASE WHEN example_id % 2 = 0 THEN CAST(example_id AS VARCHAR) ELSE 'citing_paper_id:O' || example_id END AS example_id, 'cites ' || total AS query_text, CASE example_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_multi_facet,
+  CAST(indexed AS INTEGER) AS indexed, CAST(total AS INTEGER) AS total_reference_count, 'O' || example_id AS citing, 'v' || example_id % 5 AS venue FROM cv WHERE indexed / total >= 0.7"""
+)
+def hide_seek_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("example_id")
+    facet = F.when(n % 3 == 0, F.lit(True)).when(n % 3 == 1, F.lit(False))
+    row = F.struct(
+        F.when(n % 2 == 0, n.cast("string")).alias("sentence_id"), F.lit("").alias("query_text"), F.concat(F.lit(" cites "), F.col("total_reference_count").cast("string"), F.lit("\t")).alias("sentence"),
+        F.concat(F.lit("O"), n.cast("string")).alias("citing_paper_id"), "indexed_reference_ids", "total_reference_count", facet.alias("is_multi_facet"), F.concat(F.lit("v"), (n % 5).cast("string")).alias("venue"),
+    )
+    shaped = _citing(spark, sf_dir).select(F.parse_json(F.to_json(row)).alias("v"))
+    held = hideseek.examples(benchmarks.hide_seek_rows(shaped))
+    meta = F.col("metadata")
+    return held.select("example_id", "query_text", "is_multi_facet", F.size("indexed_reference_ids").alias("indexed"), "total_reference_count", meta["citing_paper_id"].alias("citing"), meta["venue"].alias("venue"))
+
+
+# Papers as TEI: letters and digits of a document's first lines as sections, one of them nested, one without a heading
+_PLAIN = "trim(regexp_replace(split_part(coalesce(text, ''), chr(10), {}), '[^A-Za-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, lang, source, {_PLAIN.format(1)} AS a, {_PLAIN.format(2)} AS b, {_PLAIN.format(3)} AS c FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS paper_id, 'Paper ' || doc_id AS title, trim(a || CASE WHEN a <> '' AND b <> '' THEN ' ' ELSE '' END || b) AS abstract, 'R ' || doc_id || ';' || coalesce(source, '') AS references,
+  concat_ws(chr(10), CASE WHEN a <> '' THEN 'Intro|' || a END, CASE WHEN b <> '' THEN 'Intro / Part|' || b END, 'Untitled Section|x' || CASE WHEN c <> '' THEN chr(10) || c ELSE '' END) AS sections FROM p"""
+)
+def tei_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = lambda i: F.trim(F.regexp_replace(F.coalesce(F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(i)), F.lit("")), "[^A-Za-z0-9]+", " "))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), line(0).alias("a"), line(1).alias("b"), line(2).alias("c"))
+    xml = F.format_string(
+        '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title> Paper %s </title></titleStmt></fileDesc><profileDesc><abstract><p>%s</p><p>%s</p></abstract></profileDesc></teiHeader><text><body>'
+        "<div><head>Intro</head><p>%s</p><div><head>Part</head><p><ref>%s</ref> </p></div></div><div><p>x</p><p>%s</p></div></body><back><listBibl><biblStruct><analytic><title>R %s</title></analytic><monogr><title>no</title></monogr></biblStruct>"
+        "<biblStruct><analytic><title/></analytic><monogr><title>never</title></monogr></biblStruct><biblStruct><monogr><title>%s</title></monogr></biblStruct></listBibl></back></text></TEI>",
+        F.col("doc_id").cast("string"), "a", "b", "a", "b", "c", F.col("doc_id").cast("string"), "source",
+    )
+    found = tei.papers(rows.select(F.col("doc_id").alias("paper_id"), xml.alias("xml")))
+    return found.select("paper_id", "title", "abstract", F.array_join("references", ";").alias("references"), F.array_join(F.transform("sections", lambda x: F.concat(x["name"], F.lit("|"), x["text"])), "\n").alias("sections"))
+
+
+_TURNS = "SELECT conv_id AS paper_id, CAST(1 AS INTEGER) AS section_ord, turn AS sent_ord, coalesce(text, '') AS text FROM conversations"
+
+
+@query(
+    f"""WITH r AS ({_TURNS}), b AS (SELECT paper_id, (row_number() OVER w - 1) // 10 AS batch, (row_number() OVER w - 1) % 10 AS i, text FROM r WINDOW w AS (PARTITION BY paper_id ORDER BY section_ord, sent_ord))
+SELECT paper_id, batch, CAST(count(*) AS INTEGER) AS n, 'Title: Talk ' || paper_id || chr(10) || 'Abstract: ' || chr(10) || chr(10) || 'Sentences:' || chr(10) || string_agg(i || '. ' || text, chr(10) ORDER BY i) AS prompt FROM b GROUP BY paper_id, batch"""
+)
+def prompt_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper_id"), F.lit(1).alias("section_ord"), F.col("turn").alias("sent_ord"), F.coalesce("text", F.lit("")).alias("text"))
+    papers = rows.select("paper_id").distinct().select("paper_id", F.concat(F.lit("Talk "), F.col("paper_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("abstract"))
+    return classify.prompts(classify.batches(rows), papers)
+
+
+@query(
+    f"""WITH {_SENTENCES}, c AS (SELECT paper_id, section, sent_ord, text, regexp_matches(text, '{_CITATION_SQL}') AS has_citation FROM kept)
+SELECT paper_id, section, CAST(sent_ord AS INTEGER) AS sent_ord, has_citation, CASE WHEN length(text) > 70 THEN left(text, 70) || '...' ELSE text END AS snippet FROM c
+QUALIFY row_number() OVER (PARTITION BY paper_id, has_citation ORDER BY sent_ord) <= CASE WHEN has_citation THEN 3 ELSE 2 END"""
+)
+def sentence_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentences.samples(_records(spark, sf_dir))
+    return reports.snippets(found).select("paper_id", "section", "sent_ord", "has_citation", "snippet")
+
+
+_INSTRUCTION = text.QUERY_PREFIX.replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+@query(
+    f"""SELECT item_id, '{_INSTRUCTION}' || coalesce(text, '') AS instructed, trim(concat_ws(' ', nullif(CAST(item_id AS VARCHAR), ''), nullif(text, ''))) AS joined,
+  coalesce(CASE WHEN item_id % 2 = 0 THEN 'stripped ' || item_id END, text) AS searched FROM benchmark"""
+)
+def query_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("stripped "), F.col("item_id").cast("string")))
+    return read(spark, sf_dir, "benchmark").select("item_id", text.instructed(F.col("text")).alias("instructed"), text.joined(F.col("item_id").cast("string"), F.col("text")).alias("joined"), text.searched(stripped, F.col("text")).alias("searched"))
+
+
+@query(f"""WITH {_CONFUSION} SELECT gold, sum(n) FILTER (pred = 'BACKGROUND') AS "BACKGROUND", sum(n) FILTER (pred = 'METHOD') AS "METHOD", sum(n) FILTER (pred = 'RESULT') AS "RESULT", sum(n) FILTER (pred = 'OTHER') AS "OTHER" FROM cf GROUP BY gold""".replace("sum(n) FILTER", "CAST(sum(n) FILTER").replace(") AS \"", ") AS BIGINT) AS \""))
+def confusion_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.confusion_table(classify.intent_confusion(_predicted(spark, sf_dir)))
+
+
+_CALLS = "SELECT CASE WHEN event_id % 11 <> 0 THEN round(value / 100, 6) END AS seconds, CASE WHEN event_id % 11 <> 0 THEN event_id % 10 END AS results FROM events"
+
+
+@query(
+    f"""WITH c AS ({_CALLS}) SELECT count(*) AS queries, count(seconds) AS completed, CAST(sum(results) AS BIGINT) AS results, round(sum(CAST(seconds AS DECIMAL(38, 6))), 2) AS total_seconds,
+  round(sum(CAST(seconds AS DECIMAL(38, 6))) / count(*), 2) AS seconds_per_query, round(sum(CAST(seconds AS DECIMAL(38, 6))) / count(seconds), 2) AS seconds_per_completed FROM c""".replace("round(sum", "round(CAST(sum").replace("AS DECIMAL(38, 6)))", "AS DECIMAL(38, 6))) AS DOUBLE)")
+)
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ran = F.col("event_id") % 11 != 0
+    calls = read(spark, sf_dir, "events").select(F.when(ran, F.round(F.col("value") / 100, 6)).alias("seconds"), F.when(ran, F.col("event_id") % 10).alias("results"))
+    found = reports.latency(calls)
+    return found.select("queries", "completed", "results", *(F.round(c, 2).alias(c) for c in ("total_seconds", "seconds_per_query", "seconds_per_completed")))
+
+
+def _offline_model(system: str, prompt: str) -> str:
+    """A stand-in for a language model: long sentences need a reference, and the length says which kind."""
+    items = []
+    for line in prompt.partition("Sentences:\n")[2].split("\n"):
+        at, _, body = line.partition(". ")
+        items.append({"sentence_index": int(at), "citation_worthy": len(body) > 60, "citation_intent": ("BACKGROUND", "METHOD", "RESULT", "OTHER")[len(body) % 4], "confidence": 0.75})
+    return "```json\n" + json.dumps(items) + "\n```"
+
+
+_EVALUATED = """
+ex AS (SELECT item_id, regexp_replace(text, '\\s+', ' ', 'g') AS text, CASE item_id % 4 WHEN 0 THEN 'BACKGROUND' WHEN 1 THEN 'METHOD' WHEN 2 THEN 'RESULT' END AS gi, CASE WHEN item_id % 5 < 4 THEN item_id % 2 = 0 END AS gw FROM benchmark),
+pr AS (SELECT gi, gw, CASE length(text) % 4 WHEN 0 THEN 'BACKGROUND' WHEN 1 THEN 'METHOD' WHEN 2 THEN 'RESULT' END AS pi, length(text) > 60 AS pw FROM ex WHERE gi IS NOT NULL AND gw IS NOT NULL)
+"""
+
+
+@query(
+    f"""WITH {_EVALUATED}, c AS (SELECT count(*) FILTER (gw AND pw) AS tp, count(*) FILTER (NOT gw AND pw) AS fp, count(*) FILTER (gw AND NOT pw) AS fn, count(*) FILTER (NOT gw AND NOT pw) AS tn, count(*) AS n FROM pr)
+SELECT tp, fp, fn, tn, round((tp + tn) / n, 9) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM c"""
+)
+def classifier_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages with both labels, classified in batches by the offline model; the worthiness metrics."""
+    n = F.col("item_id")
+    intent = F.when(n % 4 == 0, "BACKGROUND").when(n % 4 == 1, "METHOD").when(n % 4 == 2, "RESULT")
+    rows = read(spark, sf_dir, "benchmark").select(n.cast("string").alias("example_id"), n.alias("ordinal"), F.regexp_replace("text", r"\s+", " ").alias("text"), F.lit(None).cast("string").alias("section"), intent.alias("citation_intent"), F.when(n % 5 < 4, n % 2 == 0).alias("citation_worthy"))
+    return classify.evaluate(classify.labelled_both(rows, None), _offline_model)[1]

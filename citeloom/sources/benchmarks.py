@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 # Labels of two public citation datasets and the intent each one means.
 ACL_ARC_INTENTS = {
     "background": "BACKGROUND", "basis": "BACKGROUND", "motivation": "BACKGROUND", "compare": "METHOD", "contrast": "METHOD", "model": "METHOD",
@@ -27,7 +29,7 @@ def _lookup(key: Column, table: dict[str, str]) -> Column:
 
 
 def _key(label: Column) -> Column:
-    return F.regexp_replace(F.trim(F.lower(label)), r"\s+", "_")
+    return F.regexp_replace(text.strip(F.lower(label)), rf"{text.SPACE}+", "_")
 
 
 def acl_arc_intent(label: Column) -> Column:
@@ -56,14 +58,14 @@ def adapt(rows: DataFrame, row: str, ordinal: str, keys: dict[str, tuple[str, ..
     the first that isn't blank; citation_worthy only a real boolean.
     """
     v = F.col(row)
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    text = F.coalesce(*(F.when(_is(v, k, "STRING"), blank(_value(v, k))) for k in keys["text"]), F.lit(""))
-    raw = F.trim(F.coalesce(*(F.nullif(_value(v, k), F.lit("")) for k in keys["label"]), F.lit("")))
+    blank = lambda c: F.nullif(text.strip(c), F.lit(""))
+    body = F.coalesce(*(F.when(_is(v, k, "STRING"), blank(_value(v, k))) for k in keys["text"]), F.lit(""))
+    raw = text.strip(F.coalesce(*(F.nullif(_value(v, k), F.lit("")) for k in keys["label"]), F.lit("")))
     example = F.coalesce(*(blank(_value(v, k)) for k in keys["id"]), F.concat(F.lit(prefix), F.col(ordinal).cast("string")))
     fields = {k for group in keys.values() for k in group}
     meta = F.map_filter(F.from_json(F.to_json(v), "map<string,string>"), lambda k, _: ~k.isin(*fields))
     return rows.select(
-        example.alias("example_id"), text.alias("text"), F.coalesce(F.nullif(raw, F.lit("")), F.lit("UNKNOWN")).alias("gold_label"), F.when(raw != "", intent(raw)).alias("citation_intent"),
+        F.col(ordinal).alias("ordinal"), example.alias("example_id"), body.alias("text"), F.coalesce(F.nullif(raw, F.lit("")), F.lit("UNKNOWN")).alias("gold_label"), F.when(raw != "", intent(raw)).alias("citation_intent"),
         F.when(_is(v, "citation_worthy", "BOOLEAN"), F.try_variant_get(v, "$.citation_worthy", "boolean")).alias("citation_worthy"), _value(v, "section").alias("section"), meta.alias("metadata"),
     )
 
@@ -77,13 +79,18 @@ def scicite(rows: DataFrame, row: str = "v", ordinal: str = "ordinal") -> DataFr
 
 
 def hide_seek_rows(rows: DataFrame, row: str = "v") -> DataFrame:
-    """example_id, query_text, section, is_multi_facet, citing_paper_id, indexed_reference_ids (null if no list), total_reference_count."""
+    """example_id, query_text, section, is_multi_facet, citing_paper_id, indexed_reference_ids (null if no list), total_reference_count, metadata.
+
+    ``metadata`` holds, as strings, all other keys and the citing paper's id.
+    """
     v = F.col(row)
     first = lambda *ks: F.coalesce(*(F.nullif(_value(v, k), F.lit("")) for k in ks))
     ids = F.coalesce(*(F.try_variant_get(v, f"$.{k}", "array<string>") for k in ("indexed_reference_ids", "indexed_references")))
     named = F.coalesce(first("sentence_id", "example_id", "id"), F.concat(F.lit("citing_paper_id:"), _value(v, "citing_paper_id")), F.lit("unknown"))
+    known = ("query_text", "sentence", "text", "sentence_id", "example_id", "id", "section")
+    meta = F.map_filter(F.from_json(F.to_json(v), "map<string,string>"), lambda k, x: ~k.isin(*known) & ((k != "citing_paper_id") | x.isNotNull()))
     facet = F.when(_is(v, "is_multi_facet", "BOOLEAN"), F.try_variant_get(v, "$.is_multi_facet", "boolean"))
     return rows.select(
-        named.alias("example_id"), F.trim(F.coalesce(first("query_text", "sentence", "text"), F.lit(""))).alias("query_text"), _value(v, "section").alias("section"), facet.alias("is_multi_facet"),
-        _value(v, "citing_paper_id").alias("citing_paper_id"), ids.alias("indexed_reference_ids"), F.try_variant_get(v, "$.total_reference_count", "int").alias("total_reference_count"),
+        named.alias("example_id"), text.strip(F.coalesce(first("query_text", "sentence", "text"), F.lit(""))).alias("query_text"), _value(v, "section").alias("section"), facet.alias("is_multi_facet"),
+        _value(v, "citing_paper_id").alias("citing_paper_id"), ids.alias("indexed_reference_ids"), F.try_variant_get(v, "$.total_reference_count", "int").alias("total_reference_count"), meta.alias("metadata"),
     )

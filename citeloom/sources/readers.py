@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators.hideseek import examples
 from . import benchmarks
 
 
+def numbered(rows: DataFrame, file: Column, start: Column, counted: Column) -> DataFrame:
+    """``rows`` of files, in the order of files and places, with ``line`` (from 0 over all rows) and ``ordinal`` (over the ``counted`` ones).
+
+    Rows are numbered within the piece of a file that one task reads, after the totals of the pieces before it; only
+    those totals, one row for each piece, come together.
+    """
+    placed = rows.withColumns({"_file": file, "_start": start, "_at": F.monotonically_increasing_id(), "_counted": counted.cast("long")})
+    totals = placed.groupBy("_file", "_start").agg(F.count("*").alias("_lines"), F.sum("_counted").alias("_rows"))
+    above = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_file", "_start", F.coalesce(F.sum("_lines").over(above), F.lit(0)).alias("_lines"), F.coalesce(F.sum("_rows").over(above), F.lit(0)).alias("_rows"))
+    piece = Window.partitionBy("_file", "_start").orderBy("_at")
+    joined = placed.withColumns({"_line": F.row_number().over(piece) - 1, "_row": F.sum("_counted").over(piece) - 1}).join(before, ["_file", "_start"])
+    return joined.select(*rows.columns, (F.col("_lines") + F.col("_line")).alias("line"), (F.col("_rows") + F.col("_row")).alias("ordinal"))
+
+
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """``v`` (variant) and ``ordinal`` of each line that isn't blank, in order; bad JSON raises."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "raw")).where(F.trim("raw") != "")
-    # each file is one row; the ordinal counts its own lines that aren't blank
-    return lines.select(F.parse_json(F.trim("raw")).alias("v"), F.col("line").alias("ordinal"))
+    """``v`` (variant), ``ordinal`` among the lines that aren't blank and ``line`` among all; bad JSON raises.
+
+    Several files are numbered through, in the order of their paths. Lines are read in pieces, wherever they are.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+    full = ~F.col("value").rlike(rf"^{text.SPACE}*$")
+    lines = numbered(raw, F.col("_path"), F.col("_block"), full)
+    return lines.where(full).select(F.parse_json(text.strip(F.col("value"))).alias("v"), "ordinal", "line")
 
 
 def acl_arc_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -28,23 +48,30 @@ def hide_seek_jsonl(spark: SparkSession, path: str, seed: int = 42) -> DataFrame
     return examples(benchmarks.hide_seek_rows(jsonl(spark, path)), seed=seed)
 
 
-def delimited(spark: SparkSession, path: str, text: str, label: str, row_id: str | None, sep: str = "\t") -> DataFrame:
-    """``v`` and ``ordinal`` from a file with a header: the named columns as text, label and example_id, all cells strings."""
+def delimited(spark: SparkSession, path: str, body: str, label: str, row_id: str | None, sep: str = "\t") -> DataFrame:
+    """``v`` and ``ordinal`` from a file with a header: the named columns as text, label and example_id, all cells strings.
+
+    A column that the file doesn't have, and an empty cell, is an empty string.
+    """
     raw = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=True)
-    named = raw.withColumns({"text": F.coalesce(text, F.lit("")), "label": F.coalesce(label, F.lit(""))})
+    cells = {c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in raw.columns}
+    named = raw.select("*", F.col("_metadata.file_path").alias("_path"))
+    rows = numbered(named, F.col("_path"), F.lit(0), F.lit(True))
+    cells |= {"text": cells.get(body, F.lit("")), "label": cells.get(label, F.lit(""))}
     if row_id and row_id in raw.columns:
-        named = named.withColumn("example_id", F.col(row_id))
-    return named.select(F.parse_json(F.to_json(F.struct("*"))).alias("v"), F.monotonically_increasing_id().alias("ordinal"))
+        cells["example_id"] = cells[row_id]
+    fields = F.struct(*(c.alias(name) for name, c in cells.items()))
+    return rows.select(F.parse_json(F.to_json(fields)).alias("v"), "ordinal")
 
 
-def acl_arc_tsv(spark: SparkSession, path: str, text: str = "text", label: str = "label", row_id: str | None = "id", sep: str = "\t") -> DataFrame:
+def acl_arc_tsv(spark: SparkSession, path: str, body: str = "text", label: str = "label", row_id: str | None = "id", sep: str = "\t") -> DataFrame:
     keys = {"text": ("text",), "label": ("label",), "id": ("example_id",)}
-    return benchmarks.adapt(delimited(spark, path, text, label, row_id, sep), "v", "ordinal", keys, benchmarks.acl_arc_intent, "acl-arc-")
+    return benchmarks.adapt(delimited(spark, path, body, label, row_id, sep), "v", "ordinal", keys, benchmarks.acl_arc_intent, "acl-arc-")
 
 
-def scicite_tsv(spark: SparkSession, path: str, text: str = "string", label: str = "label", row_id: str | None = None, sep: str = "\t") -> DataFrame:
+def scicite_tsv(spark: SparkSession, path: str, body: str = "string", label: str = "label", row_id: str | None = None, sep: str = "\t") -> DataFrame:
     keys = {"text": ("text",), "label": ("label",), "id": ("example_id", "id", "cite_id")}
-    return benchmarks.adapt(delimited(spark, path, text, label, row_id, sep), "v", "ordinal", keys, benchmarks.scicite_intent, "scicite-")
+    return benchmarks.adapt(delimited(spark, path, body, label, row_id, sep), "v", "ordinal", keys, benchmarks.scicite_intent, "scicite-")
 
 
 def rankings(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +95,7 @@ def rankings(spark: SparkSession, path: str) -> DataFrame:
 
 def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
     """``v`` and ``ordinal`` of the rows in the first n lines; blank lines take a place."""
-    return jsonl(spark, path).where(F.col("ordinal") < n)
+    return jsonl(spark, path).where(F.col("line") < n)
 
 
 def papers(rows: DataFrame) -> DataFrame:

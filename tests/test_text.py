@@ -43,7 +43,7 @@ def test_inputs(spark):
     df = spark.createDataFrame([("T", "A"), ("", None)], "t string, a string")
     assert [r[0] for r in df.select(text.passage(F.col("t"), F.col("a"))).collect()] == ["passage: T. A", "passage: ."]
     assert [r[0] for r in df.select(text.joined(F.col("t"), F.col("a"))).collect()] == ["T A", ""]
-    assert column(spark, ["see https://x.y z ( a ) ."], text.normalise) == ["see z (a)."]
+    assert column(spark, ["see https://x.y z ( a ) ."], text.tidy) == ["see z (a)."]
 
 
 def test_sentences_split(spark):
