@@ -1,52 +1,68 @@
 """Sharding by a k-d tree over document metadata. DataFrame functions only.
 
 The text is read once for its size and checksum; the tree works on a stored table of a few numbers a row. A node that
-has to hold k shards is split along the dimension in which its rows spread widest (as a share of the dimension's whole
-range) where the bytes of the left part come nearest to floor(k / 2) / k of the node's, and so on until each leaf is
-one shard of the target bytes. The weighted quantiles of all nodes of a level are found together: sums over a fixed
+has to hold k shards is split where the bytes of the left part come nearest to floor(k / 2) / k of the node's, along the
+dimension in which its rows spread widest (as a share of the dimension's whole range); of dimensions about as wide (at
+least ``WIDE`` times the widest) the one whose weighted median comes nearest. So it goes on until each leaf is one
+shard of the target bytes. The weighted quantiles of all nodes and dimensions of a level are found together: sums over a fixed
 number of bins between known keys, narrowed to the bin that holds the quantile until the rest is negligible. What
 reaches the driver has a fixed size. Keys are a coordinate followed by a hash of the id, so that a value which many
 rows share (one source, one language, copies of a text) is split as well. A tree is a nested CASE over stored
 columns: no level moves a row.
 
-Whole documents leave a shard a few documents off its target. A fixed number of documents of each leaf, drawn by hash,
-is therefore dealt out once more, largest first, each to the lightest shard.
+Whole documents leave a split a part of one document off. Where that is more than ``LEVEL`` of the node's bytes, as in small
+tables, up to ``EXCHANGES`` single documents go over to the sibling, each the one whose size is nearest to what is
+too much; the node remembers their keys. Every other row lies in the leaf that its keys give.
 
 Sizes are UTF-8 bytes of the text plus ``overhead`` (null texts: none). Nulls in metadata are coordinate 0. Rows that
-repeat a doc_id stay together. Empty tables give no rows. Extra columns are left out.
+repeat a doc_id and a size stay together. Empty tables give no rows. A document that is larger than a shard's target makes
+its shard larger. Extra columns are left out.
 """
 
 from __future__ import annotations
 
-import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored, text_bytes
 
-SHARDS, OVERHEAD, BINS, SLOT_BUCKETS, REDEALT = 40, 16, 1024, 64, 16
-#: Part of a shard's bytes by which a split may miss.
-TOLERANCE = 1e-4
+SHARDS, OVERHEAD, SLOT_BUCKETS = 40, 16, 64
+#: Bins of a level, dealt to its nodes.
+BINS = 8192
+#: Part of a node's bytes by which a quantile may be missed, and by which a split may miss before documents are exchanged.
+#: What a split misses by is shared by all shards below it.
+TOLERANCE, LEVEL = 5e-5, 5e-4
+WIDE, EXCHANGES = 0.5, 4
 _COORDINATE = 1 << 30
 
 
 @dataclass
 class Node:
+    """``ranges``: of each dimension's keys; rows with ``dim``'s key up to ``bound`` are left, but those ``moved`` on the other side."""
+
     name: int
     shards: int
     first: int
+    ranges: list[tuple[int, int]]
     dim: int | None = None
     bound: int = 0
+    bytes: int = 0
+    moved: list[int] = field(default_factory=list)
     left: Node | None = None
     right: Node | None = None
 
+    def goes_left(self, dims: list[str]) -> Column:
+        key = F.col(dims[self.dim])
+        return (key <= self.bound) != key.isin(self.moved) if self.moved else key <= self.bound
+
 
-def _leaf_of(node: Node, dims: list[str]) -> Column:
+def _placed(node: Node, dims: list[str], value) -> Column:
+    """``value`` of the leaf that a row falls into (an empty node has no deeper leaves)."""
     if node.left is None or node.right is None:
-        return F.lit(node.name)
-    return F.when(F.col(dims[node.dim]) <= node.bound, _leaf_of(node.left, dims)).otherwise(_leaf_of(node.right, dims))
+        return F.lit(value(node))
+    return F.when(node.goes_left(dims), _placed(node.left, dims, value)).otherwise(_placed(node.right, dims, value))
 
 
 def _keys(rows: DataFrame, numbers: list[str], categories: list[str]) -> tuple[DataFrame, list[str]]:
@@ -64,99 +80,122 @@ def _keys(rows: DataFrame, numbers: list[str], categories: list[str]) -> tuple[D
     return out, names
 
 
-def _quantiles(rows: DataFrame, nodes: list[Node], dims: list[str], leaf: Column, totals: dict[int, int], ranges: dict[int, tuple[int, int]]) -> None:
-    """Set each node's bound."""
-    goal = {n.name: totals[n.name] * (n.shards // 2) / n.shards for n in nodes}
-    slack = {n.name: TOLERANCE * totals[n.name] / n.shards for n in nodes}
-    below = dict.fromkeys(goal, 0)
-    open_ = {n.name: ranges[n.name] for n in nodes}
-    by_name = {n.name: n for n in nodes}
+def _constants(rows: DataFrame, values: list[tuple], schema: str) -> DataFrame:
+    """A few rows that are part of the plan: no job makes them."""
+    names = [c.split() for c in schema.split(", ")]
+    body = ", ".join("(" + ", ".join(f"CAST({x!r} AS {kind})" for x, (_, kind) in zip(v, names)) + ")" for v in values)
+    return rows.sparkSession.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(n for n, _ in names)})")
+
+
+def _histograms(rows: DataFrame, leaf: Column, dims: list[str], ranges: dict[tuple[int, int], tuple[int, int]], bins: int) -> dict[tuple[int, int], list]:
+    """For each (node, dimension) the bytes, least and greatest key of the bins of its range, in order."""
+    spec = [(n, d, low, (high - low) // bins + 1, high) for (n, d), (low, high) in ranges.items()]
+    asked = _constants(rows, spec, "leaf int, dim int, low long, width long, high long")
+    used = sorted({d for _, d in ranges})
+    keys = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(dims[d]).alias("key")) for d in used)))
+    cells = rows.select(leaf.cast("int").alias("leaf"), "size", keys.alias("k")).select("leaf", "size", "k.dim", "k.key")
+    cells = cells.join(F.broadcast(asked), ["leaf", "dim"]).where("key between low and high")
+    found = cells.groupBy("leaf", "dim", F.expr("(key - low) div width").alias("bin")).agg(F.sum("size").alias("bytes"), F.min("key").alias("least"), F.max("key").alias("most")).collect()
+    out: dict[tuple[int, int], list] = {}
+    for r in sorted(found, key=lambda r: (r["leaf"], r["dim"], r["bin"])):
+        out.setdefault((r["leaf"], r["dim"]), []).append(r)
+    return out
+
+
+def _cuts(rows: DataFrame, leaf: Column, dims: list[str], nodes: list[Node], whole: list[int]) -> dict[int, tuple[int, int, int]]:
+    """For each node that has rows the chosen dimension, the bound, and the bytes up to it. Sets the nodes' bytes and ranges."""
+    bins = max(64, BINS // len(nodes))
+    seen = _histograms(rows, leaf, dims, {(n.name, d): n.ranges[d] for n in nodes for d in range(len(dims))}, bins)
+    open_: dict[tuple[int, int], list] = {}
+    width: dict[tuple[int, int], float] = {}
+    by_name = {n.name: n for n in nodes if (n.name, 0) in seen}
+    for n in by_name.values():
+        n.bytes = sum(r["bytes"] for r in seen[n.name, 0])
+        n.ranges = [(seen[n.name, d][0]["least"], seen[n.name, d][-1]["most"]) for d in range(len(dims))]
+        spread = [(high - low) / max(whole[d], 1) for d, (low, high) in enumerate(n.ranges)]
+        for d, x in enumerate(spread):
+            if x >= WIDE * max(spread):
+                open_[n.name, d], width[n.name, d] = seen[n.name, d], x
+    below = dict.fromkeys(open_, 0)
+    last = {at: by_name[at[0]].ranges[at[1]][0] - 1 for at in open_}
+    ends: dict[tuple[int, int], tuple[int, int]] = {}
     while open_:
-        key = F.lit(None).cast("long")
-        low, width = F.lit(0).cast("long"), F.lit(1).cast("long")
-        inside = F.lit(False)
-        for name, (a, b) in open_.items():
-            here = leaf == name
-            key = F.when(here, F.col(dims[by_name[name].dim])).otherwise(key)
-            low = F.when(here, F.lit(a)).otherwise(low)
-            width = F.when(here, F.lit((b - a) // BINS + 1)).otherwise(width)
-            inside = inside | here & F.col(dims[by_name[name].dim]).between(a, b)
-        binned = rows.select(leaf.alias("leaf"), key.alias("key"), F.floor((key - low) / width).alias("bin"), "size", inside.alias("inside")).where("inside")
-        found = binned.groupBy("leaf", "bin").agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
-        by_leaf: dict[int, list] = {}
-        for r in sorted(found, key=lambda r: (r["leaf"], r["bin"])):
-            by_leaf.setdefault(r["leaf"], []).append(r)
-        for name in list(open_):
-            node, at = by_name[name], below[name]
-            last = open_[name][0] - 1
-            for r in by_leaf[name]:
-                if at + r["bytes"] < goal[name]:
-                    at, last = at + r["bytes"], r["high"]
+        again = {}
+        for at, cells in open_.items():
+            n = by_name[at[0]]
+            goal, slack = n.bytes * (n.shards // 2) / n.shards, TOLERANCE * n.bytes
+            ends[at] = (last[at], below[at])
+            for r in cells:
+                if below[at] + r["bytes"] < goal:
+                    below[at], last[at] = below[at] + r["bytes"], r["most"]
+                    ends[at] = (last[at], below[at])
                     continue
-                if r["bytes"] > slack[name] and r["low"] < r["high"]:
-                    below[name], open_[name] = at, (r["low"], r["high"])
-                else:
-                    node.bound = r["high"] if at + r["bytes"] - goal[name] <= goal[name] - at else last
-                    del open_[name]
+                if r["bytes"] > slack and r["least"] < r["most"]:
+                    again[at] = (r["least"], r["most"])
+                elif below[at] + r["bytes"] - goal <= goal - below[at]:
+                    ends[at] = (r["most"], below[at] + r["bytes"])
                 break
-            else:
-                node.bound = last
-                del open_[name]
+        open_ = _histograms(rows, leaf, dims, again, bins) if again else {}
+    chosen: dict[int, tuple[int, int, int]] = {}
+    for (name, d), (bound, left) in sorted(ends.items(), key=lambda x: -width[x[0]]):
+        goal = by_name[name].bytes * (by_name[name].shards // 2) / by_name[name].shards
+        if name not in chosen or abs(left - goal) < abs(chosen[name][2] - goal):
+            chosen[name] = (d, bound, left)
+    return chosen
+
+
+def _exchange(rows: DataFrame, leaf: Column, dims: list[str], nodes: list[Node], off: dict[int, float]) -> None:
+    """Move single documents between the parts of each node until what is too much on the left (``off``) is small."""
+    by_name = {n.name: n for n in nodes}
+    open_ = {name: x for name, x in off.items() if abs(x) > LEVEL * by_name[name].bytes}
+    for _ in range(EXCHANGES):
+        if not open_:
+            return
+        heavy, key = F.lit(False), F.lit(None).cast("long")
+        for name, x in open_.items():
+            n = by_name[name]
+            left = n.goes_left(dims)
+            heavy = F.when(leaf == name, left if x > 0 else ~left).otherwise(heavy)
+            key = F.when(leaf == name, F.col(dims[n.dim])).otherwise(key)
+        asked = _constants(rows, [(name, abs(x)) for name, x in open_.items()], "leaf int, off double")
+        group = rows.where(heavy).select(leaf.cast("int").alias("leaf"), key.alias("key"), "size").groupBy("leaf", "key").agg(F.sum("size").alias("size"))
+        near = group.join(F.broadcast(asked), "leaf").groupBy("leaf").agg(F.min(F.struct(F.abs(F.col("size") - F.col("off")).alias("rest"), "key", "size")).alias("best"))
+        found = {r["leaf"]: r["best"] for r in near.collect()}
+        later = {}
+        for name, x in open_.items():
+            best = found.get(name)
+            if best and best["rest"] < abs(x):
+                by_name[name].moved.append(best["key"])
+                x += -best["size"] if x > 0 else best["size"]
+                if abs(x) > LEVEL * by_name[name].bytes:
+                    later[name] = x
+        open_ = later
 
 
 def _tree(rows: DataFrame, dims: list[str], shards: int) -> Node:
-    root = Node(0, shards, 0)
     whole = rows.agg(*(f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max))).first()
-    level, names = [root], 1
-    while level := [n for n in level if n.shards > 1]:
-        leaf = _leaf_of(root, dims)
-        stats = rows.select(leaf.alias("leaf"), "size", *dims).groupBy("leaf").agg(F.sum("size").alias("bytes"), *(f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)))
-        found = {r["leaf"]: r for r in stats.collect()}
-        split, ranges = [], {}
+    ranges = [(whole[f"min_{d}"] or 0, whole[f"max_{d}"] or 0) for d in dims]
+    root = Node(0, shards, 0, ranges)
+    level, names = [root] if shards > 1 else [], 1
+    while level:
+        leaf = _placed(root, dims, lambda n: n.name)
+        chosen = _cuts(rows, leaf, dims, level, [high - low for low, high in ranges])
+        level = [n for n in level if n.name in chosen]
+        for n in level:
+            n.dim, n.bound, _ = chosen[n.name]
+        _exchange(rows, leaf, dims, level, {n.name: chosen[n.name][2] - n.bytes * (n.shards // 2) / n.shards for n in level})
+        below = []
         for n in level:
-            if r := found.get(n.name):
-                spread = [(r[f"max_{d}"] - r[f"min_{d}"]) / max(whole[f"max_{d}"] - whole[f"min_{d}"], 1) for d in dims]
-                n.dim = spread.index(max(spread))
-                ranges[n.name] = (r[f"min_{dims[n.dim]}"], r[f"max_{dims[n.dim]}"])
-                split.append(n)
-        if not split:
-            break
-        _quantiles(rows, split, dims, leaf, {n.name: found[n.name]["bytes"] for n in split}, ranges)
-        level = []
-        for n in split:
-            half = n.shards // 2
-            n.left, n.right = Node(names, half, n.first), Node(names + 1, n.shards - half, n.first + half)
-            level, names = [*level, n.left, n.right], names + 2
+            half, (low, high) = n.shards // 2, n.ranges[n.dim]
+            parts = [list(n.ranges), list(n.ranges)]
+            if not n.moved:
+                parts[0][n.dim], parts[1][n.dim] = (low, max(low, n.bound)), (min(high, n.bound + 1), high)
+            n.left, n.right = Node(names, half, n.first, parts[0]), Node(names + 1, n.shards - half, n.first + half, parts[1])
+            below, names = [*below, n.left, n.right], names + 2
+        level = [n for n in below if n.shards > 1]
     return root
 
 
-def _numbered(node: Node, dims: list[str]) -> Column:
-    """The first shard of the leaf (an empty node has no deeper leaves)."""
-    if node.left is None or node.right is None:
-        return F.lit(node.first)
-    return F.when(F.col(dims[node.dim]) <= node.bound, _numbered(node.left, dims)).otherwise(_numbered(node.right, dims))
-
-
-def _level_out(rows: DataFrame, shards: int) -> DataFrame:
-    """A fixed number of ids of each shard dealt out again, so that the shards' bytes come near each other."""
-    totals = dict.fromkeys(range(shards), 0)
-    totals |= {r["shard"]: r["bytes"] for r in rows.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
-    order = Window.partitionBy("shard").orderBy("draw", "doc_id")
-    drawn = rows.where("doc_id is not null").select("doc_id", "shard", F.xxhash64("doc_id").alias("draw"), "size").withColumn("n", F.rank().over(order)).where(F.col("n") <= REDEALT)
-    chosen = drawn.groupBy("doc_id", "shard").agg(F.sum("size").alias("size")).collect()
-    for r in chosen:
-        totals[r["shard"]] -= r["size"]
-    heap = [(n, s) for s, n in totals.items()]
-    heapq.heapify(heap)
-    moves = []
-    for r in sorted(chosen, key=lambda r: (-r["size"], r["doc_id"])):
-        n, s = heapq.heappop(heap)
-        heapq.heappush(heap, (n + r["size"], s))
-        moves.append((r["doc_id"], s))
-    moved = rows.sparkSession.createDataFrame(moves, "doc_id long, to int")
-    return rows.join(F.broadcast(moved), "doc_id", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
-
-
 def _slots(rows: DataFrame) -> DataFrame:
     """``rows`` with a gapless number in their shard, counted by fixed buckets so that no shard is one task's."""
     bucket = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SLOT_BUCKETS)).cast("int")
@@ -177,6 +216,6 @@ def shard(documents: DataFrame, shards: int = SHARDS, text: str = "text", catego
     meta = stored(meta.withColumn("log_size", F.log2("size")).withColumn("id", F.col("doc_id")), "shard-meta")
     keyed, dims = _keys(meta, ["log_size", "id"], [f"c{i}" for i in range(len(categories))])
     keyed = stored(keyed.select("doc_id", "size", "text_crc32", *dims), "shard-keys")
-    placed = keyed.select("doc_id", "size", "text_crc32", _numbered(_tree(keyed, dims, shards), dims).cast("int").alias("shard"))
-    placed = stored(_level_out(placed, shards), "shards")
-    return _slots(placed).select("doc_id", "size", "text_crc32", "shard", "slot")
+    tree = _tree(keyed, dims, shards)
+    placed = keyed.select("doc_id", "size", "text_crc32", _placed(tree, dims, lambda n: n.first).cast("int").alias("shard"))
+    return _slots(stored(placed, "shards")).select("doc_id", "size", "text_crc32", "shard", "slot")
