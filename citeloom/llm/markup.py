@@ -7,7 +7,8 @@ The best containers of each page vote, by their scores, for their path: tags and
 generalised. Votes are summed by host in Spark, which is all that is shuffled; the path with most votes is the host's. Then each
 page is extracted again: the text of the elements on its host's path, or of its own best container where it has none.
 
-The hosts' paths are broadcast while there are at most ``broadcast_hosts`` of them, and joined otherwise.
+A path goes by a hash of 128 bits, chained from the root, so that votes have a fixed size and an element's path costs the same
+at any depth. The hosts' paths are broadcast while they take at most ``broadcast_bytes``, and joined otherwise.
 
 Null and empty pages give an empty text. Null URLs share one host. Repeated rows are answered each on its own. Columns
 named like the new one are replaced.
@@ -15,19 +16,22 @@ named like the new one are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import stored
 
-BROADCAST_HOSTS = 200_000
+#: Bytes of hosts and paths that may be broadcast, and of markup that is Python's at a time.
+BROADCAST_BYTES, CHUNK_BYTES = 16 << 20, 4 << 20
 _TOKEN = re.compile(r"""<(?:!--(?:-?>|.*?--!?>|.*\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|[!?/][^>]*+>)""", re.S)
 #: An attribute as a whole, name and value, so that nothing is found inside another one; an open quote runs to the end.
 _ATTRIBUTE = re.compile(r"""([^\s/][^\s/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>][^\s>]*+)))?""")
@@ -50,11 +54,39 @@ _PARAGRAPH = frozenset("p")
 _DECAY = 0.8
 
 
+ROOT = b""
+
+
+def path_key(above: bytes, name: str) -> bytes:
+    """The path of an element with this tag and these classes, below the path ``above``."""
+    return hashlib.blake2b(above + name.encode(errors="replace"), digest_size=16).digest()
+
+
+def path_of(*names: str) -> bytes:
+    """The path through elements of these names, from the root."""
+    key = ROOT
+    for name in names:
+        key = path_key(key, name)
+    return key
+
+
+def _sliced(batch: pa.RecordBatch, markup: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold about ``CHUNK_BYTES`` of markup (a longer page is a part of its own)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(markup)), 0).to_numpy(zero_copy_only=False).astype("int64") + 64
+    first = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and held + size > CHUNK_BYTES:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size
+    yield batch.slice(first)
+
+
 class Page:
     """Elements by number (0 is the root) and the text pieces; element e holds pieces first[e] to last[e]."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.name, self.first, self.last, self.bonus = [-1], [""], [""], [0], [0], [1.0]
+        self.parent, self.tag, self.key, self.first, self.last, self.bonus = [-1], [""], [ROOT], [0], [0], [1.0]
         self.pieces: list[str] = []
         own: dict[int, float] = defaultdict(float)
         self.stack, self.noisy, self.noise, self.open = [0], [False], 0, defaultdict(int)
@@ -130,7 +162,7 @@ class Page:
             e = len(self.tag)
             self.parent.append(stack[-1])
             self.tag.append(tag)
-            self.name.append(names)
+            self.key.append(path_key(self.key[stack[-1]], names))
             self.first.append(len(self.pieces))
             self.last.append(-1)
             self.bonus.append(1.5 if good and not bad else 1.0)
@@ -167,13 +199,6 @@ class Page:
                     if name in stops:
                         break
 
-    def path(self, e: int) -> str:
-        names = []
-        while e > 0:
-            names.append(self.name[e])
-            e = self.parent[e]
-        return "/".join(reversed(names))
-
     def containers(self, most: int = 3) -> list[tuple[float, int]]:
         """The best containers with their scores, best first; ties to the outer one."""
         ranked = [(-self.score[e] * self.bonus[e], e) for e in range(len(self.tag)) if self.score[e] > 0 and (e == 0 or self.tag[e] in _BLOCK and self.tag[e] not in _LEAF)]
@@ -183,16 +208,15 @@ class Page:
     def text(self, e: int) -> str:
         return " ".join("".join(self.pieces[self.first[e] : self.last[e]]).split())
 
-    def on(self, path: str) -> list[int]:
+    def on(self, path: bytes) -> list[int]:
         """Outermost elements on a path, in page order."""
-        last = path.rpartition("/")[2]
         out: list[int] = []
-        for e in range(len(self.tag)):
-            if self.name[e] == last and self.path(e) == path and not (out and self.first[e] < self.last[out[-1]]):
+        for e, key in enumerate(self.key):
+            if key == path and not (out and self.first[e] < self.last[out[-1]]):
                 out.append(e)
         return out
 
-    def extract(self, path: str | None) -> str:
+    def extract(self, path: bytes | None) -> str:
         if path is not None:
             if found := " ".join(t for e in self.on(path) if (t := self.text(e))):
                 return found
@@ -207,15 +231,16 @@ def host_of(url: Column) -> Column:
 def _votes(markup: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes: dict[tuple[str, str], float] = defaultdict(float)
-            for host, source in zip(batch.column("_host").to_pylist(), batch.column(markup).to_pylist()):
-                if source:
-                    page = Page(source)
-                    best = page.containers()
-                    total = sum(s for s, _ in best)
-                    for s, e in best:
-                        votes[host, page.path(e)] += s / total
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.float64())], names=["host", "path", "votes"])
+            votes: dict[tuple[str, bytes], float] = defaultdict(float)
+            for part in _sliced(batch, markup):
+                for host, source in zip(part.column("_host").to_pylist(), part.column(markup).to_pylist()):
+                    if source:
+                        page = Page(source)
+                        best = page.containers()
+                        total = sum(s for s, _ in best)
+                        for s, e in best:
+                            votes[host, page.key[e]] += s / total
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.binary()), pa.array(list(votes.values()), pa.float64())], names=["host", "path", "votes"])
 
     return run
 
@@ -223,15 +248,15 @@ def _votes(markup: str):
 def host_paths(pages: DataFrame, url: str = "url", markup: str = "html") -> DataFrame:
     """host and its winning path, stored; ties go to the path that is first in order."""
     sources = pages.select(host_of(F.col(url)).alias("_host"), F.col(markup))
-    votes = sources.mapInArrow(_votes(markup), "host string, path string, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
+    votes = sources.mapInArrow(_votes(markup), "host string, path binary, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
     first = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
     return stored(votes.withColumn("n", first).where("n = 1").select("host", "path"), "host-paths")
 
 
 def _extract(markup: str, into: str, paths):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = paths.value if paths is not None else None
+        known = paths.value if paths is not None else None
+        for batch in (part for whole in batches for part in _sliced(whole, markup)):
             chosen = batch.column("_path").to_pylist() if known is None else map(known.get, batch.column("_host").to_pylist())
             texts = [Page(source).extract(path) if source else "" for source, path in zip(batch.column(markup).to_pylist(), chosen)]
             kept = batch.drop_columns([c for c in (markup, "_host", "_path") if c in batch.schema.names])
@@ -240,15 +265,15 @@ def _extract(markup: str, into: str, paths):
     return run
 
 
-def extract(pages: DataFrame, url: str = "url", markup: str = "html", into: str = "text", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", markup: str = "html", into: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` with the main text in place of the markup."""
     paths = host_paths(pages, url, markup)
     out = pages.drop(*(c for c in (into, "_host", "_path") if c != markup))
     schema = T.StructType([*(f for f in out.schema.fields if f.name != markup), T.StructField(into, T.StringType())])
     placed = out.withColumn("_host", host_of(F.col(url)))
     shared = None
-    if paths.count() <= broadcast_hosts:
-        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["path"] for r in paths.collect()})
+    if (paths.agg(F.sum(F.octet_length("host") + 16)).first()[0] or 0) <= broadcast_bytes:
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: bytes(r["path"]) for r in paths.collect()})
     else:
         placed = placed.join(paths.select(F.col("host").alias("_host"), F.col("path").alias("_path")), "_host", "left")
     return placed.mapInArrow(_extract(markup, into, shared), schema)
