@@ -25,6 +25,8 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 CONTROL = r"\||/?s>|/?INST\]|</?SYS>>"
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 512, 2, 128
 TARGET, SYSTEM = "assistant", "system"
+#: Values whose running results are appended one by one; chunks of them are appended as wholes.
+CHUNK = 128
 
 
 def escape(text: Column) -> Column:
@@ -44,10 +46,29 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.array_join(parts, "\\"))
 
 
-def _sums(turns: Column, field: str) -> Column:
-    """Prefix sums: element i is the total of the first i turns."""
-    zero = F.array(F.lit(0).cast("long"))
-    return F.aggregate(turns, zero, lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t[field])))
+def _scan(values: Column, state: Column, step, out: str) -> Column:
+    """The arrays that ``step`` adds to, over ``values``: state -> {next state, ``out``: array of what is added}.
+
+    The values are taken in chunks, so that appending copies a chunk and not all that came before: ``state`` goes from
+    chunk to chunk beside an array of the chunks' results.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
+
+    def through(a: Column, chunk: Column) -> Column:
+        done = F.aggregate(chunk, F.struct(a["state"].alias("state"), F.array().cast(out).alias("new")), step)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(a["new"], F.array(d["new"])).alias("new")))
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<{out}>").alias("new"))
+    return F.when(F.size(values) > 0, F.aggregate(chunks, start, through, lambda a: F.flatten(a["new"]))).otherwise(F.array().cast(out))
+
+
+def _sums(numbers: Column) -> Column:
+    """Prefix sums: element i is the total of the first i numbers."""
+    def step(a: Column, x: Column) -> Column:
+        return F.struct((a["state"] + x).alias("state"), F.concat(a["new"], F.array(a["state"] + x)).alias("new"))
+
+    zero = F.lit(0).cast("long")
+    return F.concat(F.array(zero), _scan(numbers, zero, step, "array<bigint>"))
 
 
 def conversations(rows: DataFrame) -> DataFrame:
@@ -69,39 +90,38 @@ def conversations(rows: DataFrame) -> DataFrame:
 
 
 def _windows(turns: Column, budget: int, history_turns: int, history_tokens: int) -> Column:
+    """Elements are taken first and their fields then: a field of an array of structs would copy the whole array."""
     long = lambda x: F.lit(x).cast("long")
 
     def planned(s: Column) -> Column:
         t, p, q = s["t"], s["p"], s["q"]
         n = F.size(t)
-        system = F.when(F.get(t["role"], F.lit(0)) == SYSTEM, 1).otherwise(0)
+        system = F.when(F.get(t, F.lit(0))["role"] == SYSTEM, 1).otherwise(0)
         room = F.greatest(F.lit(budget - history_tokens) - system * F.get(p, F.lit(1)), long(1))
 
         def step(a: Column, i: Column) -> Column:
-            new = (i == 0) | (F.get(p, i + 1) - a["base"] > room)
-            return F.when(new, F.struct(F.concat(a["starts"], F.array(i)).alias("starts"), F.get(p, i).alias("base"))).otherwise(a)
+            new = (i == 0) | (F.get(p, i + 1) - a["state"] > room)
+            return F.when(new, F.struct(F.get(p, i).alias("state"), F.concat(a["new"], F.array(i)).alias("new"))).otherwise(a)
 
-        first = F.struct(F.array().cast("array<int>").alias("starts"), long(0).alias("base"))
-        starts = F.aggregate(F.sequence(F.lit(0), n - 1), first, step, lambda a: a["starts"])
+        starts = _scan(F.sequence(F.lit(0), n - 1), long(0), step, "array<int>")
 
         def window(u: Column) -> Column:
             def one(a: Column, w: Column) -> Column:
                 b = F.coalesce(F.get(u["starts"], w + 1), n)
                 back = F.size(F.filter(F.array(*(F.lit(k) for k in range(1, history_turns + 1))), lambda k: (a - k >= system) & (F.get(p, a) - F.get(p, F.greatest(a - k, F.lit(0))) <= history_tokens))) if history_turns else F.lit(0)
-                head = F.when(w == 0, F.lit("")).otherwise(F.concat(
-                    F.when(system == 1, F.get(t["rendered"], F.lit(0))).otherwise(F.lit("")),
-                    F.array_join(F.slice(t["rendered"], a - back + 1, back), ""),
-                ))
+                joined = lambda first, size: F.array_join(F.transform(F.slice(t, first + 1, size), lambda x: x["rendered"]), "")
+                head = F.when(w == 0, F.lit("")).otherwise(F.concat(F.when(system == 1, F.get(t, F.lit(0))["rendered"]).otherwise(F.lit("")), joined(a - back, back)))
 
                 def built(h: Column) -> Column:
                     fresh = F.length(h["head"]).cast("long")
-                    spans = F.transform(F.sequence(a, b - 1), lambda i: F.struct(
-                        (fresh + F.get(q, i) - F.get(q, a) + len(OPEN) + 1 + F.length(F.get(t["role"], i))).alias("start"),
-                        (fresh + F.get(q, i + 1) - F.get(q, a) - len(CLOSE)).alias("end"), F.get(t["role"], i).alias("role"),
-                    ))
+
+                    def span(x: Column, i: Column) -> Column:
+                        start = fresh + F.get(q, a + i) - F.get(q, a) + len(OPEN) + 1 + F.length(x["role"])
+                        return F.struct(start.alias("start"), (fresh + F.get(q, a + i + 1) - F.get(q, a) - len(CLOSE)).alias("end"), x["role"].alias("role"))
+
+                    spans = F.transform(F.slice(t, a + 1, b - a), span)
                     loss = F.transform(F.filter(spans, lambda x: x["role"] == TARGET), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-                    text = F.concat(h["head"], F.array_join(F.slice(t["rendered"], a + 1, b - a), ""))
-                    return F.struct(w.alias("window"), text.alias("formatted"), fresh.alias("fresh_from"), loss.alias("loss"))
+                    return F.struct(w.alias("window"), F.concat(h["head"], joined(a, b - a)).alias("formatted"), fresh.alias("fresh_from"), loss.alias("loss"))
 
                 return let(F.struct(head.alias("head")), built)
 
@@ -109,7 +129,8 @@ def _windows(turns: Column, budget: int, history_turns: int, history_tokens: int
 
         return let(F.struct(starts.alias("starts")), window)
 
-    return let(F.struct(turns.alias("t"), _sums(turns, "tokens").alias("p"), _sums(turns, "chars").alias("q")), planned)
+    sums = lambda field: _sums(F.transform(turns, lambda t: t[field]))
+    return let(F.struct(turns.alias("t"), sums("tokens").alias("p"), sums("chars").alias("q")), planned)
 
 
 def format_windows(rows: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
