@@ -5,7 +5,7 @@ letters and digits (``secret``), numbers of 13 to 19 digits that fail the card c
 without a plus sign (``contact``). Regex, gazetteer and context labelers vote on every candidate, base ones included.
 Expectation-maximisation over the counted vote patterns (their number is bounded by the labelers, not by the data)
 estimates how reliable each labeler is and so a probability for each pattern; a logistic regression learns these from
-votes, kind and length, and decides which further candidates are kept. Base spans always stay, and a further candidate
+votes, length and whether there are letters, and decides which further candidates are kept. Base spans always stay, and a further candidate
 that overlaps one is dropped.
 
 Places come from splitting a text at its matches: a match begins after the pieces and matches before it. All
@@ -38,10 +38,13 @@ MORE = (
     ("secret", r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{20,}+", r"(?<![A-Za-z0-9])[A-Za-z0-9]{20}"),
     ("contact", r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", r"[0-9]{3}[ .-][0-9]{4}"),
 )
-KINDS = ("email", "ip", "card", "phone", "secret", "number", "contact")
-#: Gazetteers: words that announce personal data, and mail domains that people use.
-ANNOUNCING = "token|key|secret|password|passwd|pwd|api|auth|bearer|tel|telephone|phone|fax|mobile|call|mail|email|contact|card|visa|iban|account|ip|host"
-DOMAINS = r"(?i)[@.](?:example|gmail|outlook|hotmail|yahoo|proton|icloud|gmx|web)\."
+#: Gazetteers: words that announce personal data, words that announce counts and references, country codes of phone
+#: numbers, endings of domains, and values that are nobody's.
+ANNOUNCING = "token|key|secret|password|passwd|pwd|api|auth|bearer|tel|telephone|phone|fax|mobile|call|mail|email|contact|card|visa|iban|account|ip|host|user|login|pin"
+COUNTING = "order|invoice|item|part|page|figure|fig|table|section|version|isbn|issn|doi|no|nr|number|ref|reference|commit|checksum|sha|md5|build|total|sum"
+COUNTRIES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+ENDINGS = "com|org|net|edu|gov|info|io|eu|de|fr|es|it|nl|uk|us|ch|at|be|pl|se|ca|au|jp|cn|in|br"
+NOBODYS = r"^(?:0\.0\.0\.0|127\..*|255\..*|(.)\1*|(?:0123456789)+|1234567890.*)$|noreply|no-reply"
 LABELERS = 6
 _STEP = 256
 
@@ -123,45 +126,51 @@ def candidates(text: Column) -> Column:
 
 
 def votes(s: Column) -> list[Column]:
-    """The labelers: 1 for personal data, -1 against, 0 for no opinion."""
-    kind, surface, before, after = s["kind"], s["surface"], s["before"], s["after"]
+    """The labelers: 1 for personal data, -1 against, 0 for no opinion. None knows the kind; they look at the text and around it."""
+    surface, before, after = s["surface"], s["before"], s["after"]
     pick = lambda yes, no=None: F.when(yes, 1).when(no if no is not None else F.lit(False), -1).otherwise(0)
     distinct = F.size(F.array_distinct(F.split(surface, "")))
+    digits = _digits(surface)
+    numeric, payable = ~surface.rlike("[A-Za-z@]"), F.length(digits).between(13, 19)
+    word = lambda words: before.rlike(rf"(?i)(?<![a-z])(?:{words})[^A-Za-z0-9]{{0,6}}$")
     return [
-        # regex: a strict form
-        pick(kind.isin("email", "ip", "card", "phone") | (kind == "secret") & surface.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$")),
-        # regex: checksum, or variety of characters
-        pick((kind == "card") | (kind == "secret") & (distinct >= 10), (kind == "number") | (distinct <= 4)),
-        # gazetteer: a word that announces it
-        pick(before.rlike(rf"(?i)(?<![a-z])(?:{ANNOUNCING})[^A-Za-z0-9]{{0,6}}$")),
-        # gazetteer: a domain or country prefix
-        pick((kind == "email") & surface.rlike(DOMAINS) | (kind == "phone") & surface.rlike(r"^\+(?:1|33|34|44|49)[^0-9]")),
+        # regex: a strict form, or nothing but a run of digits
+        pick(surface.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[^@]+@[a-z0-9.-]+|\+[0-9 ().-]+|[0-9]+(?:\.[0-9]+){3}|[0-9]{4}(?:[ -][0-9]{4}){2,3}.*)$"), surface.rlike("^(?:[0-9]+|[a-z]+[0-9]{1,3})$")),
+        # checksum of numbers that could be a card's, variety of characters of anything else
+        F.when(numeric & payable, F.when(luhn(digits), 1).otherwise(-1)).when(~numeric & (distinct >= 10), 1).when(distinct <= 4, -1).otherwise(0),
+        # gazetteer: words that announce it, or announce something else
+        pick(word(ANNOUNCING), word(COUNTING)),
+        # gazetteer: endings of domains and country codes, or values that are nobody's
+        F.when(surface.rlike(NOBODYS), -1).when(surface.rlike(rf"(?i)@.*\.(?:{ENDINGS})$|^\+(?:{COUNTRIES})"), 1).otherwise(0),
         # context: between quotes or after a sign of assignment; glued to other characters
         pick(before.rlike("[=:\"'(<\\[]\\s?[\"']?$"), before.rlike("[A-Za-z0-9_]$") | after.rlike("^[A-Za-z0-9_]")),
-        # context: an amount, or free-standing
-        pick((kind != "contact") & before.rlike(r"(?:^|\s)$") & after.rlike(r"^(?:\s|[.,;:!?]|$)"), after.rlike("^ ?(?:%|€|\\$|km|kg|mm)") | before.rlike("[$€£] ?$")),
+        # context: a person's words around, or an amount
+        pick(before.rlike(r"(?i)(?:\b(?:my|your|his|her|write|reach|at|to|from|is)\s+)$"), after.rlike("^ ?(?:%|€|\\$|km|kg|mm|MB|GB)") | before.rlike("[$€£#] ?$")),
     ]
 
 
 @dataclass
 class Model:
-    """Weights of the span classifier: of each kind, of each labeler's yes and no, and of length."""
+    """Weights of the span classifier: of all, of letters beside digits, of each labeler's yes and no, and of length."""
 
-    kinds: dict[str, float]
+    bias: float
+    mixed: float
     yes: list[float]
     no: list[float]
     length: float
     reliability: list[tuple[float, float]]
 
     def probability(self, s: Column) -> Column:
-        z = F.lit(0.0)
-        for kind, w in self.kinds.items():
-            z = z + F.when(s["kind"] == kind, w).otherwise(0.0)
+        z = F.lit(self.bias) + F.when(_mixed(s), self.mixed).otherwise(0.0)
         for v, yes, no in zip(votes(s), self.yes, self.no):
             z = z + F.when(v == 1, yes).when(v == -1, no).otherwise(0.0)
         return 1 / (1 + F.exp(-(z + self.length * _long(s))))
 
 
+def _mixed(s: Column) -> Column:
+    return s["surface"].rlike("[A-Za-z]")
+
+
 def _long(s: Column) -> Column:
     return F.least(F.floor(F.length(s["surface"]) / 8), F.lit(5)).cast("double")
 
@@ -177,7 +186,7 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], float]], roun
                 rates[k][y] = {v: (1.0 / 3 + sum(n * (p if y else 1 - p) for (vs, n), p in zip(patterns, tops) if vs[k] == v)) / mass[y] for v in (-1, 0, 1)}
         tops = []
         for vs, _ in patterns:
-            odds = log(mass[1] / mass[0]) + sum(log(rates[k][1][v] / rates[k][0][v]) for k, v in enumerate(vs) if v)
+            odds = log(mass[1] / mass[0]) + sum(log(rates[k][1][v] / rates[k][0][v]) for k, v in enumerate(vs))
             tops.append(1 / (1 + exp(-max(-30.0, min(30.0, odds)))))
     return tops, [(r[1].get(1, 0.0), r[0].get(1, 0.0)) for r in rates]
 
@@ -199,22 +208,21 @@ def _logistic(rows: list[tuple[list[float], float, float]], rounds: int = 300, r
 def train(found: DataFrame) -> Model:
     """The model from the counted votes on all candidates of stored rows with ``base`` and ``more``."""
     spans = found.select(F.explode(F.concat("base", "more")).alias("s"))
-    voted = spans.select(F.col("s.kind").alias("kind"), _long(F.col("s")).alias("long"), *(v.alias(f"v{i}") for i, v in enumerate(votes(F.col("s")))))
+    voted = spans.select(_mixed(F.col("s")).alias("mixed"), _long(F.col("s")).alias("long"), *(v.alias(f"v{i}") for i, v in enumerate(votes(F.col("s")))))
     names = [f"v{i}" for i in range(LABELERS)]
-    counted = [((r["kind"], r["long"], tuple(r[v] for v in names)), r["n"]) for r in voted.groupBy("kind", "long", *names).agg(F.count("*").alias("n")).collect()]
+    counted = [((r["mixed"], r["long"], tuple(r[v] for v in names)), r["n"]) for r in voted.groupBy("mixed", "long", *names).agg(F.count("*").alias("n")).collect()]
     counted.sort()
     if not counted:
-        return Model({}, [0.0] * LABELERS, [0.0] * LABELERS, 0.0, [])
+        return Model(0.0, 0.0, [0.0] * LABELERS, [0.0] * LABELERS, 0.0, [])
     patterns: dict[tuple[int, ...], float] = {}
     for (_, _, vs), n in counted:
         patterns[vs] = patterns.get(vs, 0.0) + n
     tops, reliability = expectation_maximisation(list(patterns.items()))
     soft = dict(zip(patterns, tops))
     total = sum(n for _, n in counted)
-    rows = [([*(float(kind == k) for k in KINDS), *(float(v == 1) for v in vs), *(float(v == -1) for v in vs), size / 5], soft[vs], n / total) for (kind, size, vs), n in counted]
+    rows = [([1.0, float(mixed), *(float(v == 1) for v in vs), *(float(v == -1) for v in vs), size / 5], soft[vs], n / total) for (mixed, size, vs), n in counted]
     w = _logistic(rows)
-    k = len(KINDS)
-    return Model(dict(zip(KINDS, w)), w[k : k + LABELERS], w[k + LABELERS : k + 2 * LABELERS], w[-1] / 5, reliability)
+    return Model(w[0], w[1], w[2 : 2 + LABELERS], w[2 + LABELERS : 2 + 2 * LABELERS], w[-1] / 5, reliability)
 
 
 def detect(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -227,7 +235,7 @@ def detect(documents: DataFrame, text: str = "text") -> DataFrame:
 def accepted(model: Model, base: Column, more: Column) -> Column:
     """All spans: the base ones, then the further ones that the classifier keeps, by kind and start."""
     slim = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    kept = F.filter(more, lambda s: model.probability(s) >= 0.5) if model.kinds else F.filter(more, lambda s: F.lit(False))
+    kept = F.filter(more, lambda s: model.probability(s) >= 0.5) if model.reliability else F.filter(more, lambda s: F.lit(False))
     return F.concat(F.transform(base, slim), F.transform(F.when(F.size(more) > 0, kept).otherwise(more), slim))
 
 
