@@ -1,9 +1,9 @@
 """Byte-level BPE, encoding and decoding.
 
-A word (a match of the pattern) is written as a string of one character for each piece: at first one for each byte,
-later one for each token. A round finds the adjacent pair of least rank and replaces all its occurrences from left to
-right, which the string function ``replace`` does; Spark's higher-order functions fold the rounds until no pair has a
-rank. Ranks come from a literal map of pairs, in hashed buckets because Spark's map lookup is a scan.
+A word (a match of the pattern) is an array of pieces, at first its bytes, later tokens; it is written as a string of one
+character of four bytes for each piece. A round finds the adjacent pair of least rank and replaces all its occurrences from
+left to right, which the string function ``replace`` does; Spark's higher-order functions fold the rounds until no pair
+has a rank. Ranks come from a literal map of pairs, in hashed buckets because Spark's map lookup is a scan.
 
 Replacing all occurrences of the least pair at once is what merging them one by one would do if every token of the
 vocabulary encodes to itself, and then each token has one pair that makes it. Both hold for vocabularies that BPE
@@ -11,9 +11,10 @@ training made; ``Vocabulary`` checks it and refuses others.
 
 The fold runs once for each distinct word of a task (of as many batches as bring 500,000 words, when it forgets them):
 Arrow's dictionary encoding turns a batch's words into numbers, and the words that are new travel on the batch's first
-row; after the fold the numbers are looked up in what came so far. All of it is one stage over the texts where they lie:
-nothing is shuffled, and memory is bounded by the words remembered and by a batch, whose rows ``encode`` limits in the
-session's configuration. Decoding concatenates the tokens' bytes, a batch at a time.
+row, as bytes already; a word that is itself a token needs no fold. Words are told apart by 128 bits of hash. After the fold the numbers are looked up in what came so
+far. All of it is one stage over the texts where they lie: nothing is shuffled, and memory is bounded by the words
+remembered and by a batch. Jobs that encode long texts do well to use small batches (``shared.TEXT_ROWS``).
+Decoding concatenates the tokens' bytes, a batch at a time.
 
 Null texts are empty; an empty text has no ids. Repeated rows are encoded each on its own. Columns named like the
 new one are replaced.
@@ -32,19 +33,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bytewords
 from .pii import let
 
+# Letters and numbers of Unicode 14 to 16, in hexadecimal, which Java 17 doesn't know as such.
+LATER_LETTERS = (
+    "870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3 A7D5-A7DC A7F2-A7F4 10570-1057A "
+    "1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 105C0-105F3 10780-10785 10787-107B0 107B2-107BA 10D4A-10D65 "
+    "10D6F-10D85 10EC2-10EC4 10F70-10F81 11071-11072 11075 1123F-11240 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11740-11746 11AB0-11ABF "
+    "11BC0-11BE0 11F02 11F04-11F10 11F12-11F33 12F90-12FF0 1342F 13441-13446 13460-143FA 16100-1611D 16A70-16ABE 16D40-16D6C 18CFF 1AFF0-1AFF3 1AFF5-1AFFB "
+    "1AFFD-1AFFE 1B11F-1B122 1B132 1B155 1DF00-1DF1E 1DF25-1DF2A 1E030-1E06D 1E290-1E2AD 1E4D0-1E4EB 1E5D0-1E5ED 1E5F0 1E7E0-1E7E6 1E7E8-1E7EB 1E7ED-1E7EE "
+    "1E7F0-1E7FE 2A6DE-2A6DF 2B735-2B739 2EBF0-2EE5D 31350-323AF "
+)
+LATER_NUMBERS = (
+    "10D40-10D49 116D0-116E3 11BF0-11BF9 11F50-11F59 16130-16139 16AC0-16AC9 16D70-16D79 1CCF0-1CCF9 1D2C0-1D2D3 1E4F0-1E4F9 1E5F1-1E5FA "
+)
+
+
+def _later(*ranges: str) -> str:
+    """A class of such characters; what lies before the first of them is told by one comparison."""
+    return r"[\x{870}-\x{323AF}&&[" + "".join("-".join("\\x{" + x + "}" for x in r.split("-")) for part in ranges for r in part.split()) + "]]"
+
+
+_LETTER, _NUMBER = rf"[\p{{L}}{_later(LATER_LETTERS)}]", rf"[\p{{N}}{_later(LATER_NUMBERS)}]"
+_OTHER = rf"[^\p{{IsWhite_Space}}\p{{L}}\p{{N}}{_later(LATER_LETTERS, LATER_NUMBERS)}]"
 #: Splits texts into words, as Java reads it. White space is Unicode's; the rest is as in the vocabulary's own pattern.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
-#: Ids become characters from here on: the Basic Multilingual Plane has room up to the surrogates.
-FIRST, LIMIT = 0x100, 0xD800 - 0x100
+WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_NUMBER}+| ?{_OTHER}+|\p{{IsWhite_Space}}+(?!\P{{IsWhite_Space}})|\p{{IsWhite_Space}}+"
+#: Ids become characters from here on, all of four bytes in UTF-8; the last one marks a word that is done.
+FIRST, LIMIT = 0x10000, 0xFFFFF
+DONE = chr(FIRST + LIMIT)
 RANK_BUCKETS = 1 << 14
-#: Up to so many characters a pair is cut out by its place; finding a place takes time in proportion to it.
-SHORT = 48
 #: Rows whose ids or bytes are gathered in one go.
 ROWS_AT_ONCE = 512
-#: Rows of an Arrow batch at most, and words that a task remembers at most: they bound a task's memory.
-BATCH_CONF, BATCH_ROWS, KNOWN_WORDS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000, 500_000
+#: Words that a task remembers at most, and up to how many bytes each.
+KNOWN_WORDS, LONGEST = 500_000, 256
 
 
 class Vocabulary:
@@ -114,31 +136,23 @@ class Encoder:
         self.spark, self.vocabulary = spark, vocabulary
         pairs = [(chr(FIRST + a) + chr(FIRST + b), chr(FIRST + z) + chr(FIRST + a) + chr(FIRST + b)) for (a, b), z in vocabulary.pairs.items()]
         self._ranks = _bucketed(pairs, _buckets_of(spark, [k for k, _ in pairs], RANK_BUCKETS), RANK_BUCKETS)
-        self._latin = "".join(map(chr, range(256)))
-        self._pieces = "".join(chr(FIRST + i) for i in vocabulary.bytes)
 
     def folded(self, word: Column) -> Column:
-        """The word's tokens as a string of characters."""
-        first = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), self._latin, self._pieces)
+        """The word's tokens, from its bytes, both as a string of characters."""
 
         def ranked(s: Column) -> Column:
             """For each adjacent pair what it becomes and the pair itself, or null; characters are in the order of ranks."""
-            near = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: s.substr(i, F.lit(2)))
-            chars = F.split(s, "")
-            far = F.zip_with(F.slice(chars, F.lit(1), F.length(s) - 1), F.slice(chars, F.lit(2), F.length(s) - 1), lambda x, y: F.concat(x, y))
-            pairs = F.when(F.length(s) <= SHORT, near).otherwise(far)
+            pairs = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: s.substr(i, F.lit(2)))
             return F.transform(pairs, lambda p: F.try_element_at(F.get(self._ranks, _bucket(p, RANK_BUCKETS)), p))
 
-        def step(a: Column, _: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
             def merged(m: Column) -> Column:
-                s = F.when(m.isNotNull(), F.replace(a["s"], F.substring(m, 2, 2), F.substring(m, 1, 1))).otherwise(a["s"])
-                return F.struct(s.alias("s"), m.isNull().alias("done"))
+                return F.coalesce(F.replace(s, F.substring(m, 2, 2), F.substring(m, 1, 1)), F.concat(F.lit(DONE), s))
 
-            return F.when(a["done"] | (F.length(a["s"]) < 2), a).otherwise(let(F.array_min(ranked(a["s"])), merged))
+            return F.when((F.octet_length(s) < 8) | s.startswith(F.lit(DONE)), s).otherwise(let(F.array_min(ranked(s)), merged))
 
-        start = F.struct(first.alias("s"), F.lit(False).alias("done"))
-        rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-        return F.aggregate(rounds, start, step, lambda a: a["s"])
+        rounds = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
+        return F.ltrim(F.aggregate(rounds, word, step), F.lit(DONE))
 
 
 def _numbered(words: pa.ListArray) -> tuple[pa.Array, pa.Array]:
@@ -148,30 +162,94 @@ def _numbered(words: pa.ListArray) -> tuple[pa.Array, pa.Array]:
     return pa.ListArray.from_arrays(pa.array(offsets), flat.indices.cast(pa.int32())), flat.dictionary
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
-    for batch in batches:
-        if batch.num_rows:
-            numbers, words = _numbered(batch.column("_words"))
-            words = words.to_pylist()
-            if len(known) + len(words) > KNOWN_WORDS:
-                known = {}
-            before = len(known)
-            new = [w for w in words if known.setdefault(w, len(known)) >= before]
-            places = np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
-            numbers = pa.ListArray.from_arrays(numbers.offsets, pa.array(places[numbers.values.to_numpy()] if len(words) else [], pa.int32()))
-            later = pa.array([i > 0 for i in range(batch.num_rows)])
-            first = pa.ListArray.from_arrays(pa.array([0, *[len(new)] * batch.num_rows], pa.int32()), pa.array(new, pa.string()), mask=later)
-            kept = batch.drop_columns(["_words"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, numbers, first, pa.array([before] * batch.num_rows, pa.int32())], names=[*kept.schema.names, "_numbers", "_words", "_before"])
+def _characters(ids: np.ndarray) -> np.ndarray:
+    """Rows of the four bytes that write each id."""
+    c = (ids + FIRST).astype(np.uint32)
+    return np.column_stack([0xF0 | c >> 18, 0x80 | c >> 12 & 63, 0x80 | c >> 6 & 63, 0x80 | c & 63]).astype(np.uint8)
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings one after another, and where each string's begin (one more for the end)."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    return raw, ends - ends[0]
+
+
+class Words:
+    """Numbers of words, by 128 bits of hash: the memory is 20 bytes a word, whatever its length."""
+
+    def __init__(self):
+        self.hashes, self.others, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def add(self, first: np.ndarray, second: np.ndarray, numbers: np.ndarray) -> None:
+        hashes = np.concatenate([self.hashes, first])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.others, self.numbers = hashes[order], np.concatenate([self.others, second])[order], np.concatenate([self.numbers, numbers.astype(np.int32)])[order]
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for those that aren't known."""
+        if not len(self):
+            return np.full(len(first), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, first), len(self) - 1)
+        return np.where((self.hashes[at] == first) & (self.others[at] == second), self.numbers[at], -1).astype(np.int32)
+
+
+def _written(words: pa.Array, single: np.ndarray, tokens: np.ndarray) -> pa.Array:
+    """The words as strings of characters: one for a word that is a token (its id in ``tokens``, else -1), else one for each byte (``single``)."""
+    raw, ends = _bytes_of(words)
+    flat, lengths = single[raw], np.diff(ends)
+    known = tokens >= 0
+    keep = ~np.repeat(known, lengths)
+    keep[ends[:-1][known]] = True
+    flat[ends[:-1][known]] = tokens[known]
+    cuts = np.concatenate([[0], np.cumsum(np.where(known, 1, lengths))]) * 4
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(_characters(flat[keep]).tobytes()))
+
+
+def _distinct(shared):
+    """Texts' words as numbers; each batch's first row carries the words that are new."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, single = Words(), np.array([shared.value.index(bytes([b])) for b in range(256)])
+        vocabulary.add(*bytewords.string_hashes(*_bytes_of(pa.array(shared.value, pa.binary()))), np.arange(len(shared.value)))
+        known, total = Words(), 0
+        for batch in batches:
+            if batch.num_rows:
+                numbers, words = _numbered(batch.column("_words"))
+                hashes = bytewords.string_hashes(*_bytes_of(words))
+                if total + len(words) > KNOWN_WORDS:
+                    known, total = Words(), 0
+                before = total
+                # very long words are folded anew each time: their hashes could be made to collide
+                short = pc.binary_length(words).to_numpy() <= LONGEST
+                places = np.where(short, known.find(*hashes), -1).astype(np.int32)
+                new = np.flatnonzero(places < 0)
+                places[new] = total + np.arange(len(new))
+                kept_new = new[short[new]]
+                known.add(hashes[0][kept_new], hashes[1][kept_new], places[kept_new])
+                total += len(new)
+                flat = places[numbers.values.to_numpy()] if len(words) else np.zeros(0, np.int32)
+                cuts = (numbers.offsets.to_numpy().astype(np.int64) * 4).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(flat.tobytes())])
+                later = pa.array([i > 0 for i in range(batch.num_rows)])
+                written = _written(words.take(pa.array(new)), single, np.where(short[new], vocabulary.find(hashes[0][new], hashes[1][new]), -1))
+                first = pa.ListArray.from_arrays(pa.array([0, *[len(new)] * batch.num_rows], pa.int32()), written, mask=later)
+                kept = batch.drop_columns(["_words"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, packed, first, pa.array([before] * batch.num_rows, pa.int32())], names=[*kept.schema.names, "_numbers", "_words", "_before"])
+
+    return run
 
 
 def _codes(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all pieces one after another, and where each piece's begin."""
-    places = np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
-    text = pieces.buffers()[2][places[0] : places[-1]].to_pybytes().decode() if places[-1] > places[0] else ""
-    lengths = pc.utf8_length(pieces).to_numpy(zero_copy_only=False)
-    return np.frombuffer(text.encode("utf-16-le"), dtype=np.uint16).astype(np.int32) - FIRST, np.concatenate([[0], np.cumsum(lengths)])
+    raw, ends = _bytes_of(pieces)
+    c = raw.reshape(-1, 4).astype(np.int32) & [0x07, 0x3F, 0x3F, 0x3F]
+    return (c[:, 0] << 18 | c[:, 1] << 12 | c[:, 2] << 6 | c[:, 3]).astype(np.int32) - FIRST, ends // 4
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,11 +289,11 @@ def _looked_up(into: str, shared):
                     codes, places = _codes(lists[a].values)
                     flat, starts = np.concatenate([flat, codes]), np.concatenate([starts, starts[-1] + places[1:]])
                 if b > a:
-                    numbers = batch.column("_numbers").slice(a, b - a)
-                    ids, lengths = gathered(flat, starts, numbers.flatten().to_numpy())
+                    numbers = [np.frombuffer(x, dtype=np.int32) for x in batch.column("_numbers").slice(a, b - a).to_pylist()]
+                    ids, lengths = gathered(flat, starts, np.concatenate(numbers))
                     ends = np.concatenate([[0], np.cumsum(lengths)])
-                    rows = np.concatenate([[0], np.cumsum(pc.list_value_length(numbers).to_numpy(zero_copy_only=False))])
-                    column = pa.ListArray.from_arrays(pa.array(ends[rows].astype(np.int32)), pa.array(ids))
+                    rows = np.concatenate([[0], np.cumsum([len(x) for x in numbers])])
+                    column = pa.ListArray.from_arrays(pa.array(ends[rows].astype(np.int32)), pa.array(ids.astype(np.int32)))
                     more = {into: column} | ({"decoded": _bytes(table, column)} if table else {})
                     yield pa.RecordBatch.from_arrays([*kept.slice(a, b - a).columns, *more.values()], names=[*kept.schema.names, *more])
 
@@ -229,15 +307,14 @@ def encode(documents: DataFrame, encoder: Encoder, text: str = "text", into: str
     """
     own = [c for c in (documents.columns if keep is None else keep) if c not in (into, "_words", "_numbers", "_pieces", "_before", *["decoded"] * check)]
     fields = [documents.schema[c] for c in own]
-    conf = documents.sparkSession.conf
-    if not 0 < int(conf.get(BATCH_CONF, "10000")) <= BATCH_ROWS:
-        conf.set(BATCH_CONF, str(BATCH_ROWS))  # read when the result runs, so it stays
+    sc = documents.sparkSession.sparkContext
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
-    strings, numbers = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
-    distinct = documents.select(*own, words.alias("_words")).mapInArrow(_distinct, T.StructType([*fields, T.StructField("_numbers", numbers), T.StructField("_words", strings), T.StructField("_before", T.IntegerType())]))
+    strings, integer = T.ArrayType(T.StringType()), T.IntegerType()
+    more = [T.StructField("_numbers", T.BinaryType()), T.StructField("_words", strings), T.StructField("_before", integer)]
+    shared = sc.broadcast(encoder.vocabulary.tokens)
+    distinct = documents.select(*own, words.alias("_words")).mapInArrow(_distinct(shared), T.StructType([*fields, *more]))
     folded = distinct.select(*own, "_numbers", "_before", F.transform("_words", encoder.folded).alias("_pieces"))
-    shared = documents.sparkSession.sparkContext.broadcast(encoder.vocabulary.tokens) if check else None
-    return folded.mapInArrow(_looked_up(into, shared), T.StructType([*fields, T.StructField(into, numbers), *[T.StructField("decoded", T.BinaryType())] * check]))
+    return folded.mapInArrow(_looked_up(into, shared if check else None), T.StructType([*fields, T.StructField(into, T.ArrayType(integer)), *[T.StructField("decoded", T.BinaryType())] * check]))
 
 
 def _joined(ids: str, into: str, shared):

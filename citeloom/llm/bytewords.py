@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text in one chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -57,22 +58,19 @@ NON_ALNUM = np.zeros(256, dtype=bool)
 NON_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 
-def chunks(texts: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list]]:
-    """(first, last + 1, byte strings) of consecutive rows; None counts as empty."""
-    first, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        t = t or b""
-        if held and size + len(t) > limit:
-            yield first, i, held
-            first, held, size = i, [], 0
-        held.append(t)
-        size += len(t) + 1
-    if held:
-        yield first, first + len(held), held
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list]]:
+    """(first row, byte strings) of consecutive rows of a column of texts; null counts as empty.
 
-
-def byte_column(column: pa.Array) -> list:
-    return column.cast(pa.binary()).to_pylist()
+    Only one chunk's texts are Python objects at a time, however large the batch is.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield first, [t or b"" for t in column.slice(first, end - first).cast(pa.binary()).to_pylist()]
+        first = end
 
 
 def joined(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +100,18 @@ def word_hashes(texts: list, outside: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h, np.searchsorted(starts, places)
 
 
+def string_hashes(buffer: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each string in ``buffer``, which begin and end at ``bounds``."""
+    power, inverse = _power_tables(len(buffer) + 1)
+    lengths = np.diff(bounds).astype(np.uint64)
+    out = []
+    for table in (np.arange(256, dtype=np.uint64) + np.uint64(1), mix(np.arange(1, 257, dtype=np.uint64))):
+        sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
+        np.cumsum(table[buffer] * power[: len(buffer)], out=sums[1:])
+        out.append(mix((sums[bounds[1:]] - sums[bounds[:-1]]) * inverse[bounds[:-1]] + lengths * np.uint64(0xD6E8FEB86659FD93)))
+    return out[0], out[1]
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of the ``n`` words from each place on; places whose words cross a text's end mean nothing."""
     if len(h) < n:

@@ -2,30 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="citeloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch that suit whole texts: buffers on both sides stay small, however long the session has run.
+TEXT_ROWS = 1000
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Jobs that start in here use Arrow batches of at most ``rows``; the session's setting comes back afterwards."""
+    before = spark.conf.get(_BATCH_ROWS)
+    if rows and not 0 < int(before) <= rows:
+        spark.conf.set(_BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    ``batch_rows``: rows of the job's Arrow batches at most.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(spark, batch_rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_bytes(text) -> F.col:
     """UTF-8 bytes of a text, null as empty."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
