@@ -5,9 +5,9 @@ A text's fingerprints are the least k-gram hash of each run of ``window`` k-gram
 training fingerprints among the benchmark's and extending each hit word by word to both sides finds every shared
 span of that length. Benchmark items with fewer words are one window each and are looked up as a whole.
 
-The documents are never shuffled: each batch is hashed and looked up where it is read. The benchmark is shipped to
-the executors in blocks of at most ``block_bytes`` of text (an item longer than that is a block of its own), one
-pass over the documents for each block, so that what is broadcast has a fixed bound whatever the benchmark's size.
+A benchmark of at most ``block_bytes`` is broadcast, and the documents are looked up where they are read. Beyond that
+the fingerprints of documents and items are joined on their hash, and only texts that share one with an item are
+compared with it; nothing then grows with the benchmark in any one place.
 
 Null and empty texts have no words: such a document has no hits and such an item no window. Repeated documents are
 answered each on its own; rows of the benchmark with the same item_id count as one item. Null item ids are left out.
@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import bytewords
+from .graph import sieve
+from .shared import fresh, stored
 
 SPAN = 10
 K = 5
@@ -121,13 +122,124 @@ class Index:
         return found
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text")).where("name is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-total // block_bytes) or 1
-    for b in range(count):
-        part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == b) if count > 1 else items
-        yield [(r["name"], r["text"]) for r in part.distinct().collect()]
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("item")).where("name is not null and item is not null").distinct()
+
+
+_SPANS = "array<struct<first:bigint,end:bigint>>"
+_FOUND = f"struct<n_words:bigint,hit_spans:{_SPANS},hit_items:array<string>>"
+_PAIR = pa.struct([("first", pa.int64()), ("end", pa.int64())])
+
+
+def _found(shared, span: int, k: int):
+    """n_words, hit_spans and hit_items of each text, against all items at once."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = Index(shared.value, span, k)
+        for column in columns:
+            words, spans, names = [], [], []
+            for _, held in bytewords.chunks(column):
+                h, bounds = bytewords.word_hashes(held, bytewords.NON_ALNUM)
+                words += np.diff(bounds).tolist()
+                hits = index.hits(h, bounds) if index else {}
+                for d in range(len(held)):
+                    found, base = hits.get(d, ()), int(bounds[d])
+                    spans.append([{"first": a, "end": b} for a, b in union([(a - base, b - base) for a, b, _ in found])])
+                    names.append(sorted({index.names[i] for _, _, i in found}))
+            yield pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(spans, pa.list_(_PAIR)), pa.array(names, pa.list_(pa.string()))], names=["n_words", "hit_spans", "hit_items"])
+
+    return run
+
+
+def _fingerprints(text: str, span: int, k: int, short: list[int]):
+    """digest (of the whole text) and its distinct keys: winnowed k-gram hashes, and hashes of all runs as long as a short item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, held in bytewords.chunks(batch.column(text)):
+                h, bounds = bytewords.word_hashes(held, bytewords.NON_ALNUM)
+                owner, keys = [], []
+                if len(h) >= span:
+                    g = bytewords.grams(h, k)
+                    at = winnow(g, span - k + 1, fits(len(h), bounds, span))
+                    owner.append(np.searchsorted(bounds, at, side="right") - 1)
+                    keys.append(g[at])
+                for n in short:
+                    at = np.flatnonzero(fits(len(h), bounds, n)[: max(0, len(h) - n + 1)])
+                    owner.append(np.searchsorted(bounds, at, side="right") - 1)
+                    keys.append(bytewords.grams(h, n)[at] ^ np.uint64(n))
+                if owner:
+                    own, key = np.concatenate(owner), np.concatenate(keys)
+                    order = np.lexsort((key, own))
+                    own, key = own[order], key[order]
+                    new = np.ones(len(own), dtype=bool)
+                    new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+                    names = [digest(t) for t in held]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in own[new].tolist()], pa.binary()), pa.array(key[new].astype(np.int64))], names=["digest", "key"])
+
+    return run
+
+
+def _item_keys(span: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, item in zip(batch.column("name").to_pylist(), batch.column("item").to_pylist()):
+                h, _ = bytewords.word_hashes([item.encode()], bytewords.NON_ALNUM)
+                if len(h) >= span:
+                    g = bytewords.grams(h, k)
+                    keys, n = np.unique(g[winnow(g, span - k + 1, np.ones(len(g), dtype=bool))]), 0
+                else:
+                    n = len(h)
+                    keys = bytewords.grams(h, n) ^ np.uint64(n) if n else np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array([n] * len(keys), pa.int32())], names=["name", "key", "n"])
+
+    return run
+
+
+def _extended(span: int, k: int):
+    """The spans of one item in one text, found again and extended on the words themselves."""
+
+    def run(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, names, items in columns:
+            out = []
+            for i in range(len(texts)):
+                h, bounds = bytewords.word_hashes([texts[i].as_py().encode()], bytewords.NON_ALNUM)
+                hits = Index([(names[i].as_py(), items[i].as_py())], span, k).hits(h, bounds).get(0, ())
+                out.append([{"first": a, "end": b} for a, b in union([(a, b) for a, b, _ in hits])])
+            yield pa.array(out, pa.list_(_PAIR))
+
+    return run
+
+
+def digest(text: bytes) -> bytes:
+    return hashlib.md5(text).digest()
+
+
+def _joined(documents: DataFrame, items: DataFrame, text: str, span: int, k: int) -> DataFrame:
+    """digest, hit_spans and hit_items of the texts that hold something of an item.
+
+    Fingerprints of documents and items meet on their hash; a bitmap of fixed size keeps back the documents' that no
+    item has. Every pair of text and item that has met is then compared word by word.
+    """
+    keys = stored(items.mapInArrow(_item_keys(span, k), "name string, key long, n int"), "item-keys")
+    short = sorted(r["n"] for r in keys.where("n > 0").select("n").distinct().collect())
+    own = documents.select(F.col(text).alias("text")).where("text is not null")
+    prints = sieve(own.mapInArrow(_fingerprints("text", span, k, short), "digest binary, key long"), keys, "key")
+    # AQE splits the partitions of a fingerprint that very many texts share
+    met = stored(prints.join(keys.select("name", "key"), "key").select("digest", "name").distinct(), "met")
+    some = sieve(own.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary")))), met, "digest")
+    texts = stored(some.join(met.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"]), "met-texts")
+    extended = F.arrow_udf(_extended(span, k), _SPANS).asNondeterministic()
+    spans = met.join(items, "name").join(texts, "digest").select("digest", "name", extended("text", "name", "item").alias("spans")).where(F.size("spans") > 0)
+    every = spans.groupBy("digest", "name").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    whole = every.groupBy("digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.collect_set("name")).alias("hit_items"))
+    merged = F.aggregate("spans", F.array().cast(_SPANS), lambda out, s: F.when((F.size(out) > 0) & (s["first"] <= F.element_at(out, -1)["end"]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["first"].alias("first"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(out, F.array(s))))
+    return stored(whole.select("digest", merged.alias("hit_spans"), "hit_items"), "hits")
+
+
+def _counted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in columns:
+        yield pa.array([n for _, held in bytewords.chunks(column) for n in np.diff(bytewords.word_hashes(held, bytewords.NON_ALNUM)[1]).tolist()], pa.int64())
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text", span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -137,39 +249,24 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     """
     if not 1 <= k <= span:
         raise ValueError("k must lie between 1 and span")
-    out = documents.drop("n_words", "hit_spans", "hit_items")
-    spans = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*out.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", spans), T.StructField("hit_items", T.ArrayType(T.StringType()))])
-    sc = documents.sparkSession.sparkContext
-    result = None
-    for items in _blocks(benchmark, block_bytes):
-        shared = sc.broadcast(items)
-        result = (out if result is None else result).mapInArrow(_pass(shared, text, span, k, result is not None), schema)
-    return result
-
-
-def _pass(shared, text: str, span: int, k: int, again: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, span, k)
-        for batch in batches:
-            texts = bytewords.byte_column(batch.column(text))
-            words, spans, names = [0] * len(texts), [[] for _ in texts], [[] for _ in texts]
-            if again:
-                spans = [[(s["first"], s["end"]) for s in row] for row in batch.column("hit_spans").to_pylist()]
-                names = batch.column("hit_items").to_pylist()
-            for first, _, held in bytewords.chunks(texts):
-                h, bounds = bytewords.word_hashes(held, bytewords.NON_ALNUM)
-                words[first : first + len(held)] = np.diff(bounds).tolist()
-                for d, found in (index.hits(h, bounds) if index else {}).items():
-                    base = int(bounds[d])
-                    spans[first + d] = union([*spans[first + d], *((a - base, b - base) for a, b, _ in found)])
-                    names[first + d] = sorted({*names[first + d], *(index.names[i] for _, _, i in found)})
-            kept = batch.drop_columns(["n_words", "hit_spans", "hit_items"]) if again else batch
-            pair = pa.struct([("first", pa.int64()), ("end", pa.int64())])
-            more = [pa.array(words, pa.int64()), pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(pair)), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *more], names=[*kept.schema.names, "n_words", "hit_spans", "hit_items"])
-
-    return run
+    spark = documents.sparkSession
+    names = ("n_words", "hit_spans", "hit_items")
+    kept = [F.col(f"`{c}`") for c in documents.columns if c not in names]
+    items = stored(_items(benchmark), "items")
+    if (items.agg(F.sum(F.octet_length("item") + F.octet_length("name") + 64)).first()[0] or 0) <= block_bytes:
+        shared = spark.sparkContext.broadcast([(r["name"], r["item"]) for r in items.collect()])
+        answer = fresh(documents, "_found")
+        found = F.arrow_udf(_found(shared, span, k), _FOUND).asNondeterministic()
+        return documents.select(*kept, found(F.col(text).cast("string")).alias(answer)).select(*kept, *(F.col(f"{answer}.{n}").alias(n) for n in names))
+    own, hit = fresh(documents, "_digest"), fresh(documents, "_hit")
+    hits = _joined(documents, items, text, span, k).select(F.col("digest").alias(own), F.struct("hit_spans", "hit_items").alias(hit))
+    marked = documents.withColumn(own, F.unhex(F.md5(F.col(text).cast("binary"))))
+    clear = sieve(marked, hits, own, inside=False)
+    rest = sieve(marked, hits, own).join(hits, own, "left")
+    none = F.struct(F.array().cast(_SPANS).alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
+    every = clear.withColumn(hit, none).select(*documents.columns, hit).unionAll(rest.withColumn(hit, F.coalesce(hit, none)).select(*documents.columns, hit))
+    count = F.arrow_udf(_counted, "long").asNondeterministic()
+    return every.select(*kept, count(F.col(text).cast("string")).alias("n_words"), F.col(f"{hit}.hit_spans").alias("hit_spans"), F.col(f"{hit}.hit_items").alias("hit_items"))
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -183,7 +280,7 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def digest(found: DataFrame) -> DataFrame:
+def report(found: DataFrame) -> DataFrame:
     """The contract's row for each document of ``decontaminate``."""
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     return found.select(
@@ -192,10 +289,6 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def text_sha(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 #: DuckDB: the same by comparing all windows of words.
 SQL = r"""
 WITH words AS (

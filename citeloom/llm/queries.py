@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, decontam, langid, markup, neardup, pii, quality, shards
-from .shared import key_crc, table
+from .shared import TEXT_ROWS, key_crc, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.digest(bpe.encode(documents, bpe.Encoder(spark, vocabulary), keep=["doc_id"], check=True))
+    encoded = bpe.encode(documents, bpe.Encoder(spark, vocabulary), keep=["doc_id"], check=True)
+    return stored(bpe.digest(encoded), "encoded", batch_rows=TEXT_ROWS)
 
 
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontam.digest(decontam.decontaminate(documents, table(spark, sf_dir, "benchmark")))
+    return decontam.report(decontam.decontaminate(documents, table(spark, sf_dir, "benchmark")))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
