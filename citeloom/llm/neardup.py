@@ -11,8 +11,9 @@ Documents that share a band meet in a bucket. No bucket is expanded into all pai
 
 1. each member is compared with the bucket's least id on the full sets; links make components;
 2. buckets whose members all lie in one component are done. The rest is compared across components only: buckets of up
-   to ``small`` members by pairs, larger ones in blocks of at most about ``block`` members, every block with every
-   block, which multiplies sets as matrices and returns no more links than join the components. Nothing is capped.
+   to ``small`` members by pairs, larger ones in blocks of at most about ``block`` members, dealt by component and by
+   set size: blocks meet if they can hold a pair that is alike and not yet joined. A meeting multiplies sets as matrices
+   and returns no more links than join the components. Nothing is capped.
 
 At the default bands a pair with similarity 0.8 misses every band with a probability of 5e-6.
 
@@ -24,17 +25,17 @@ and different texts each is judged by its own text; those that carry the least i
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import bytewords
 from .graph import components, sieve, without
-from .shared import stored
+from .shared import TEXT_ROWS, fresh, stored
 
 SHINGLE, THRESHOLD = 2, 80
 BANDS, ROWS = 40, 6
@@ -80,21 +81,20 @@ def _describe(text: str, shingle: int, bands: int, rows: int):
         sketch = Sketcher(bands * rows)
         band = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
-            sizes, digests, keys = [], [], []
-            for _, _, held in bytewords.chunks(bytewords.byte_column(batch.column(text))):
-                for s in shingle_sets(held, shingle):
+            kept = batch.drop_columns([text])
+            for first, held in bytewords.chunks(batch.column(text)):
+                sizes, digests, keys = [], [], np.zeros((len(held), bands), dtype=np.uint64)
+                for d, s in enumerate(shingle_sets(held, shingle)):
                     sizes.append(len(s))
                     digests.append(_digest(s))
                     if len(s):
-                        v, key = sketch(s).reshape(bands, rows), band
+                        v, keys[d] = sketch(s).reshape(bands, rows), band
                         for j in range(rows):
-                            key = bytewords.mix(key + v[:, j])
-                        keys.append(key.astype(np.int64).tolist())
-                    else:
-                        keys.append(None)
-            more = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            kept = batch.drop_columns([text])
-            yield pa.RecordBatch.from_arrays([*kept.columns, *more], names=[*kept.schema.names, "n_shingles", "digest", "keys"])
+                            keys[d] = bytewords.mix(keys[d] + v[:, j])
+                bounds = np.concatenate([[0], np.cumsum(np.where(np.array(sizes) > 0, bands, 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[np.array(sizes) > 0].ravel().astype(np.int64)))
+                part = kept.slice(first, len(held))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=[*kept.schema.names, "n_shingles", "digest", "keys"])
 
     return run
 
@@ -106,19 +106,19 @@ def _digest(s: np.ndarray) -> bytes | None:
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(_digest(s), s.tobytes()) for _, _, held in bytewords.chunks(bytewords.byte_column(batch.column("text"))) for s in shingle_sets(held, shingle)]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], names=["digest", "elements"])
+            for _, held in bytewords.chunks(batch.column("text")):
+                found = [(_digest(s), s.tobytes()) for s in shingle_sets(held, shingle)]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], names=["digest", "elements"])
 
     return run
 
 
-def _digests(text: str, shingle: int, into: str):
-    """All columns, and the digest of the text's set."""
+def _digests(shingle: int):
+    """The digest of each text's set; null without words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_digest(s) for _, _, held in bytewords.chunks(bytewords.byte_column(batch.column(text))) for s in shingle_sets(held, shingle)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, into])
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([_digest(s) for _, held in bytewords.chunks(column) for s in shingle_sets(held, shingle)], pa.binary())
 
     return run
 
@@ -130,29 +130,36 @@ def _alike(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
-def _verify(threshold: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, other = batch.column("one").to_pylist(), batch.column("other").to_pylist()
-            same = [_alike(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), threshold) for x, y in zip(one, other)]
-            yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
+def _verify(threshold: int, rows: int = 256):
+    """Whether two sets are alike; the sets are Python objects for a few ``rows`` at a time."""
+
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for one, other in columns:
+            same = []
+            for i in range(0, len(one), rows):
+                pairs = zip(one.slice(i, rows).to_pylist(), other.slice(i, rows).to_pylist())
+                same += [_alike(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), threshold) for x, y in pairs]
+            yield pa.array(same, pa.bool_())
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("other")), "b").join(sets.select(F.col("id").alias("a"), F.col("elements").alias("one")), "a")
-    return joined.select("a", "b", "one", "other").mapInArrow(_verify(threshold), "a long, b long")
+    alike = F.arrow_udf(_verify(threshold), "boolean")
+    return joined.where(alike("one", "other")).select("a", "b")
 
 
 def _across(threshold: int):
     """Links between the components of two blocks (or of one): no more than join what they can join."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        low, high = key[1].as_py(), key[2].as_py()
-        side = rows.column("block").to_numpy()
-        first = np.flatnonzero(side == low)
-        second = np.flatnonzero(side == high) if high != low else first
+        low, high = key[0].as_py(), key[1].as_py()
+        side = np.array([x == low for x in rows.column("block").to_pylist()])
+        first = np.flatnonzero(side)
+        second = np.flatnonzero(~side) if high != low else first
+        if not len(first) or not len(second):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         ids, comp = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
         elements = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("elements").to_pylist()]
         sizes = np.fromiter(map(len, elements), dtype=np.int64, count=len(elements))
@@ -201,6 +208,34 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found, "id", "left").select(*members.columns, F.coalesce("root", "id").alias("comp"))
 
 
+def _met(large: DataFrame, sets: DataFrame, threshold: int, block: int) -> DataFrame:
+    """id, comp, elements and block of the members of large buckets, once for each pair of blocks (first, second) that has to meet.
+
+    A family is what large buckets connect. Its members are dealt by component, where one has ``block`` members or more
+    (the other members are dealt together), and by the logarithm of the set's size, in steps of the size ratio that the
+    threshold asks for. Blocks of one and the same component have nothing to join, and blocks more than one step apart no
+    pair that is alike; all others meet.
+    """
+    family = components(large.select(F.col("hub").alias("a"), F.col("id").alias("b"))).withColumnRenamed("root", "family")
+    members = large.select("id", "comp").distinct().join(family, "id").join(sets, "id")
+    own = members.groupBy("family", "comp").agg(F.count("*").alias("n")).where(F.col("n") >= block).select("family", "comp", F.col("comp").alias("own"))
+    step = F.floor(F.log(F.octet_length("elements") / 8) / F.lit(math.log(100 / threshold) * (1 + 1e-9) if threshold < 100 else 1e-6))
+    placed = stored(members.join(own, ["family", "comp"], "left").withColumn("step", step), "family-members")
+    cells = placed.groupBy("family", "own", "step").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
+    cells = stored(cells.withColumn("cell", F.monotonically_increasing_id()), "family-cells")
+    name = lambda cell, i: F.struct(F.col(cell).alias("cell"), F.col(i).cast("long").alias("i"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = cells.select("family", F.col("own").alias("own1"), F.col("step").alias("step1"), F.col("cell").alias("cell1"), F.col("blocks").alias("n1"))
+    two = cells.select("family", F.col("own").alias("own2"), F.col("step").alias("step2"), F.col("cell").alias("cell2"), F.col("blocks").alias("n2"))
+    near = one.join(two, "family").where("cell1 <= cell2 and abs(step1 - step2) <= 1 and not coalesce(own1 = own2, false)")
+    pairs = near.withColumn("i1", every("n1")).withColumn("i2", every("n2")).where("cell1 < cell2 or i1 <= i2").select(name("cell1", "i1").alias("first"), name("cell2", "i2").alias("second"))
+    pairs = stored(pairs, "block-pairs")
+    sides = pairs.select("first", "second", F.col("first").alias("block")).unionAll(pairs.where("first <> second").select("first", "second", F.col("second").alias("block")))
+    dealt = placed.join(cells, placed["family"].eqNullSafe(cells["family"]) & placed["own"].eqNullSafe(cells["own"]) & (placed["step"] == cells["step"]))
+    dealt = dealt.select("id", "comp", "elements", F.struct(F.col("cell"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("i")).alias("block"))
+    return dealt.join(sides, "block")
+
+
 def links(classes: DataFrame, documents: DataFrame, text: str, shingle: int, threshold: int, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between classes (id, rep, digest, keys) that join all whose sets are similar enough."""
     keyed = stored(classes.select("id", F.explode("keys").alias("key")), "band-keys")
@@ -209,9 +244,9 @@ def links(classes: DataFrame, documents: DataFrame, text: str, shingle: int, thr
     wanted = stored(classes.select("id", "rep", "digest").join(members.select("id").distinct(), "id", "left_semi"), "wanted")
     rows = sieve(documents.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).where("rep is not null"), wanted, "rep")
     found = rows.join(wanted, "rep", "left_semi").mapInArrow(_sets(shingle), "digest binary, elements binary").dropDuplicates(["digest"])
-    sets = stored(found.join(wanted, "digest").select("id", "elements"), "sets")
+    sets = stored(found.join(wanted, "digest").select("id", "elements"), "sets", batch_rows=TEXT_ROWS)
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = stored(_verified(pairs, sets, threshold), "links")
+    first = stored(_verified(pairs, sets, threshold), "links", batch_rows=TEXT_ROWS)
 
     labelled = stored(_labelled(members, components(first)), "labelled")
     open_ = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
@@ -223,20 +258,14 @@ def links(classes: DataFrame, documents: DataFrame, text: str, shingle: int, thr
 
     large = rest.where(F.col("n") > small)
     if not large.isEmpty():
-        family = components(large.select(F.col("hub").alias("a"), F.col("id").alias("b"))).withColumnRenamed("root", "family")
-        sizes = family.groupBy("family").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
-        placed = family.join(sizes, "family").join(large.select("id", "comp").distinct(), "id").join(sets, "id")
-        placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.select("id", "comp", "elements", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        found = found.unionAll(dealt.groupBy("family", "low", "high").applyInArrow(_across(threshold), "a long, b long"))
-    return stored(found, "links")
+        found = found.unionAll(_met(large, sets, threshold, block).groupBy("first", "second").applyInArrow(_across(threshold), "a long, b long"))
+    return stored(found, "links", batch_rows=TEXT_ROWS)
 
 
 def _classified(documents: DataFrame, text: str, shingle: int, threshold: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, digest, component_id and kept for each row of ``documents``."""
     own = documents.select("doc_id", F.col(text).alias("text"))
-    described = stored(own.mapInArrow(_describe("text", shingle, bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketches")
+    described = stored(own.mapInArrow(_describe("text", shingle, bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketches", batch_rows=TEXT_ROWS)
     classes = described.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
     classes = stored(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
     # a class goes by its least doc_id, and by a number where classes share that
@@ -266,10 +295,11 @@ def deduplicate(documents: DataFrame, text: str = "text", shingle: int = SHINGLE
     if split.isEmpty():
         return without(documents, gone.select("doc_id"), "doc_id")
     whole = without(documents, gone.select("doc_id").unionAll(split), "doc_id")
-    schema = T.StructType([*documents.schema.fields, T.StructField("_digest", T.BinaryType())])
-    part = sieve(documents, split, "doc_id").join(split, "doc_id", "left_semi").select(documents.columns).mapInArrow(_digests(text, shingle, "_digest"), schema)
+    digest = fresh(documents, "_digest")
+    own = F.arrow_udf(_digests(shingle), "binary")
+    part = sieve(documents, split, "doc_id").join(split, "doc_id", "left_semi").select(documents.columns).withColumn(digest, own(F.col(text)))
     # a row without words has a null digest, equals none and stays
-    return whole.unionAll(part.join(gone.distinct(), ["doc_id", "_digest"], "left_anti").select(documents.columns))
+    return whole.unionAll(part.join(gone.withColumnRenamed("_digest", digest).distinct(), ["doc_id", digest], "left_anti").select(documents.columns))
 
 
 #: DuckDB: the same from all pairs of texts that share a shingle, with components by walking the links.
