@@ -1,7 +1,11 @@
 """BPE, personal data, chat windows and page extraction against brute force."""
 import base64
 import hashlib
+import math
+import random
 import re
+import time
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -9,6 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from citeloom.llm import bpe, chat, markup, pii
+from citeloom.llm.shared import stored
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,6 +26,7 @@ def vocabulary():
 TEXTS = [
     "hello world", None, "", "don't  stop\n\n  now  x  y", "é😀é  ñandú 你好世界 \u0000\u0007", "x" * 3000, " " * 2000 + "a", "ab" * 1500, "I'LL we'll 12345 1.2.3 <|endoftext|>",
     "aaa aaaa aaaaa aaaaaa aaaaaaa", "̀á ٣٤ ½ Ⅻ", "\t\r\n \x1c\x1d\x85 z", "hello world",
+    "\U00011f02's \U00011f02\U00011f02a's z\u0870's \ua7cd\u1e2f", "\U0001ccf5's 1\U00011f50's x", "\U0001f600's !\U0001f600 's \u00a0's", "a\U00011f02" * 3000, "wörld " * 4000, "z" * 300 + " " + "z" * 300,
 ]
 
 
@@ -28,7 +34,8 @@ def test_bpe_round_trip(spark, vocabulary):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumns({"ids": F.lit("clash"), "_words": F.lit(1), "decoded": F.lit(2)})
-    spark.conf.set(bpe.BATCH_CONF, "2")  # words are remembered from batch to batch
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(conf, "2")  # words are remembered from batch to batch
     encoded = bpe.encode(df.repartition(3), bpe.Encoder(spark, vocabulary))
     assert "text" in encoded.columns
     for r in bpe.decode(encoded, vocabulary).collect():
@@ -37,9 +44,10 @@ def test_bpe_round_trip(spark, vocabulary):
     row = bpe.digest(bpe.encode(df.where("doc_id = 0"), bpe.Encoder(spark, vocabulary), keep=["doc_id"], check=True)).first()
     assert row["decoded_sha256"] == hashlib.sha256(TEXTS[0].encode()).hexdigest()
     assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, library.encode_ordinary(TEXTS[0]))).encode()).hexdigest()
-    spark.conf.unset(bpe.BATCH_CONF)
+    spark.conf.unset(conf)
     assert bpe.encode(df.where("false"), bpe.Encoder(spark, vocabulary), keep=["doc_id"]).count() == 0
-    assert spark.conf.get(bpe.BATCH_CONF) == str(bpe.BATCH_ROWS)
+    before = spark.conf.get(conf)
+    assert stored(bpe.encode(df, bpe.Encoder(spark, vocabulary)), "ids", batch_rows=3).count() == len(TEXTS) and spark.conf.get(conf) == before
 
 
 def test_bpe_refuses_odd_vocabularies():
@@ -51,6 +59,21 @@ def test_bpe_refuses_odd_vocabularies():
     assert bpe.Vocabulary([*single, b"ab", b"abc"]).pairs == {(97, 98): 256, (256, 99): 257}
 
 
+def test_bpe_of_a_large_vocabulary(spark):
+    """Ids beyond 16 bits. Each kind of token joins two kinds that join in no other way, so every token encodes to itself."""
+    single = [bytes([b]) for b in range(256)]
+    pairs = {k: [bytes([a, b]) for a in k for b in b"nopqrstuvwxyz"] for k in (b"abc", b"def", b"ghijklm")}
+    left, right = ([x + y for x in pairs[k] for y in pairs[b"ghijklm"]] for k in (b"abc", b"def"))
+    fours = left + right + [x + y for x in left[:260] for y in right[:260]]
+    tokens = single + sum(pairs.values(), []) + fours
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    texts = ["anguendngn anhuendngo bogndngnanguends", "".join(x.decode() for x in left[250:260] + right[255:260]) * 9, "x"]
+    big = bpe.Vocabulary(tokens)
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bpe.Encoder(spark, big)).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert max(max(r["ids"]) for r in got) > 65_536
+
+
 def base_spans(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
@@ -105,6 +128,34 @@ def test_expectation_maximisation():
     assert tops[0] > 0.95 and tops[1] < 0.05 and rates[0][0] > rates[0][1]
 
 
+def test_expectation_maximisation_against_brute_force():
+    """Planted labels and reliabilities: the estimate sorts candidates as well as the exact posterior, whose likelihood it reaches."""
+    rng = random.Random(4)
+    prior, rates = 0.35, [((0.8, 0.1, 0.1), (0.1, 0.3, 0.6)), ((0.6, 0.3, 0.1), (0.2, 0.3, 0.5)), ((0.4, 0.6, 0.0), (0.02, 0.98, 0.0)), ((0.3, 0.65, 0.05), (0.05, 0.75, 0.2)), ((0.5, 0.2, 0.3), (0.3, 0.3, 0.4)), ((0.1, 0.8, 0.1), (0.1, 0.5, 0.4))]
+    drawn = []
+    for _ in range(20000):
+        y = rng.random() < prior
+        drawn.append((y, tuple(rng.choices((1, 0, -1), r[0] if y else r[1])[0] for r in rates)))
+    counts = Counter(v for _, v in drawn)
+    tops, reliability = pii.expectation_maximisation([(v, float(n)) for v, n in counts.items()])
+    given = lambda v, side: math.prod(r[side][1 - x] for r, x in zip(rates, v))
+    exact = {v: prior * given(v, 0) / (prior * given(v, 0) + (1 - prior) * given(v, 1)) for v in counts}
+    estimate = dict(zip(counts, tops))
+    right = lambda p: sum((p[v] >= 0.5) == y for y, v in drawn) / len(drawn)
+    assert right(estimate) > right(exact) - 0.01 and right(exact) > 0.9
+    assert all(abs(r[0] - true[0][0]) < 0.08 and abs(r[1] - true[1][0]) < 0.08 for r, true in zip(reliability, rates))
+
+
+@pytest.mark.parametrize(("text", "kept"), [('api_key = "a1b2c3d4e5f6a7b8c9d0e1f2"', True), ("order no. 4111111111111112 came", False), ("total 1234567890123456789 km", False), ("commit zzzzzzzzzzzzzzzzzzzz1", False)])
+def test_labelers_can_disagree(spark, text, kept):
+    """One kind of candidate is kept or dropped by what stands around it."""
+    planted = [f"token: {hashlib.sha256(str(i).encode()).hexdigest()[:40]} mail a{i}@b.com" for i in range(30)] + [f"invoice no. {4111111111111112 + 7 * i * 10} kg" for i in range(30)]
+    rows = spark.createDataFrame(list(enumerate([text, *planted])), "doc_id long, text string")
+    found = pii.detect(rows)
+    spans = {r["doc_id"]: r["spans"] for r in pii.digest(found, pii.train(found)).collect()}
+    assert bool(spans[0]) == kept
+
+
 def render(role, text):
     control = r"([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)"
     fix = lambda s: re.sub(control, lambda m: m[1] + m[2] + "\\" + m[3], s)
@@ -142,6 +193,20 @@ def test_chat(spark):
     assert chat.format_chat(df.where("false")).count() == 0
 
 
+def test_long_chats_in_linear_time(spark):
+    def took(n):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id")).alias("text"))
+        began = time.perf_counter()
+        row = chat.digest(chat.format_windows(rows)).first()
+        texts = [f"turn {i}" for i in range(n)]
+        assert row["n_turns"] == n and row["loss_sha256"] == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest()
+        assert row["turns_sha256"] == hashlib.sha256("".join(f"{'assistant' if i % 2 else 'user'}\n{x}\n" for i, x in enumerate(texts)).encode()).hexdigest()
+        return time.perf_counter() - began
+
+    took(2000)
+    assert took(16000) < 3 + 16 * took(2000)
+
+
 PAGE = """<html><body class="page"><header><h1>Site</h1></header><nav><a href="/">home</a></nav><div id="cookie-notice">We use</div><div class=wrap><aside>side</aside><div class="post post-%d"><h1>Title &amp; more</h1>
 <p>One<b>bold</b> text&nbsp;here<p>Two<ul><li>a<li>b</ul><form>x<input></form><div class="share">tw</div><blockquote>quote</blockquote><script>if(a<b){"</div>"}</script><!-- c > -->
 <table><tr><td>c1<td>c2</table></div><section class="comments"><p>great post %s</section></div><footer>&copy; f</footer></body>"""
@@ -154,9 +219,9 @@ def test_pages(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     want = {i: MAIN for i in range(6)} | {10: "plain text", 11: "", 12: "", 13: "no such path here at all", 14: "just text", 15: ""}
     assert {r["page_id"]: r["text"] for r in markup.extract(df).collect()} == want
-    assert {r["page_id"]: r["text"] for r in markup.extract(df, broadcast_hosts=0).collect()} == want
-    paths = {r["host"]: r["path"] for r in markup.host_paths(df).collect()}
-    assert paths["h.example.com"] == "html/body.page/div.wrap/div.post.post-#"
+    assert {r["page_id"]: r["text"] for r in markup.extract(df, broadcast_bytes=-1).collect()} == want
+    paths = {r["host"]: bytes(r["path"]) for r in markup.host_paths(df).collect()}
+    assert paths["h.example.com"] == markup.path_of("html", "body.page", "div.wrap", "div.post.post-#")
     assert markup.extract(df.where("false")).count() == 0
 
 
@@ -165,6 +230,18 @@ def test_pages_in_linear_time(source):
     markup.Page(source).extract(None)
 
 
+def test_deep_pages_on_a_path_in_linear_time():
+    def took(n):
+        page = markup.Page("<div>" * n + "x")
+        began = time.perf_counter()
+        assert page.extract(markup.path_of(*["div"] * n)) == "x" and page.extract(markup.path_of("div")) == "x"
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(16000) < 0.5 + 40 * took(1000)
+    assert len(markup.path_of(*["div"] * 8000)) == 16
+
+
 @pytest.mark.parametrize(
     ("tag", "kept"),
     [('a href="/hidden-gems/"', True), ('p title="the hidden cost"', True), ('div data-id="comments-1"', True), ("a href=/hidden/", True), ("p data-hidden", True), ('p data-aria-hidden="true"', True),

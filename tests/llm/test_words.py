@@ -157,13 +157,13 @@ def test_decontamination(spark, block_bytes):
         docs.append((i, ", ".join(parts)))
     docs += [(60, None), (61, ""), (62, "the, " * 200)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_words", F.lit("clash"))
-    found = decontam.digest(decontam.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes))
+    found = decontam.report(decontam.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes))
     assert {r[0]: tuple(r)[1:] for r in found.collect()} == brute_hits(docs, items)
 
 
 def test_decontamination_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
-    assert tuple(decontam.digest(decontam.decontaminate(docs, items)).first())[1:4] == (2, 0, 0)
+    assert tuple(decontam.report(decontam.decontaminate(docs, items)).first())[1:4] == (2, 0, 0)
     assert decontam.decontaminate(docs.where("false"), items).count() == 0
 
 
@@ -227,3 +227,100 @@ def test_isotonic():
     y = (rng.random(200) < x).astype(float)
     knots, values = quality.isotonic(x, y, np.ones(200))
     assert (np.diff(values) >= 0).all() and (np.diff(knots) > 0).all() and abs(np.average(values) - 0.5) < 0.5
+
+
+def brute_statistics(text):
+    raw = text.encode()
+    words = re.findall(r"[^\x20\x09-\x0D]+".encode(), raw)
+    lower = [re.sub(rb"[A-Z]", lambda m: m.group().lower(), w) for w in words]
+    lines = [x for x in raw.split(b"\n") if x]
+    share = [sum(b in c for b in raw) / max(len(raw), 1) for c in quality.CLASSES]
+    most = max((lower.count(w) for w in set(lower)), default=0)
+    return [
+        np.log1p(len(raw)), *share, np.log1p(len(words)), (len(raw) - len(words)) / max(len(words), 1), len(set(lower)) / np.sqrt(max(len(words), 1)), len(set(lines)) / max(len(lines), 1), np.log1p(len(lines)),
+        most / max(len(words), 1), len(re.findall(rb"[!#$%&*|_=<>{}\[\]\\^~/@+]{2}(?=[\x20\x09-\x0D]|\Z)", raw)) / max(len(words), 1), min(len(words), 20) / 20,
+    ]
+
+
+def test_statistics_against_brute_force():
+    rng = random.Random(8)
+    texts = ["", "a", "The the THE\n\nthe\nthe", "x!! y## z!#", "é É 12 <b> -- ''", "\n\n\n", "tab\tsep  two", "wow!!"] + [prose(rng, 40) + rng.choice(["!!", " ##", "\n"]) * 3 for _ in range(20)]
+    marks = {6, 7, 8}
+    assert [i for i, c in enumerate(quality.CLASSES) if i in marks] == [6, 7, 8]
+    got = quality.statistics([t.encode() for t in texts])
+    for row, text in zip(got, texts):
+        assert row == pytest.approx(brute_statistics(text), abs=1e-9), text
+
+
+def test_features_approximate_the_kernel():
+    rng = np.random.default_rng(4)
+    k = 6
+    model = quality.Model(np.zeros(k), np.ones(k), rng.normal(size=(k, 4000)) / np.sqrt(k), rng.uniform(0, 2 * np.pi, 4000))
+    x = rng.normal(size=(40, k))
+    waves = model.features(x)[:, 1:]
+    far = ((x[:, None] - x[None]) ** 2).sum(-1)
+    assert np.abs(waves @ waves.T - np.exp(-far / (2 * k))).max() < 0.08
+
+
+def test_normal_equations_against_a_direct_solution(spark):
+    rng = np.random.default_rng(6)
+    n = 500
+    stats = rng.normal(size=(n, len(quality.STATISTICS)))
+    label = (stats[:, 0] + 0.3 * rng.normal(size=n) > 0).astype(float)
+    described = spark.createDataFrame([(i, [float(v) for v in s]) for i, s in enumerate(stats)], "doc_id long, stats array<double>").repartition(5)
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(label)], "doc_id long, quality int")
+    model = quality.train(described, labels)
+    assert model.mean == pytest.approx(stats.mean(axis=0)) and model.scale == pytest.approx(stats.std(axis=0))
+    x = model.features(stats)
+    penalty = quality.RIDGE * n / quality.FEATURES * np.diag([1e-9, *[1.0] * quality.FEATURES])
+    direct = np.linalg.solve(x.T @ x + penalty, x.T @ label)
+    assert x @ model.weights == pytest.approx(x @ direct, abs=1e-6)
+    raw = model.raw(stats)
+    at = np.minimum(((raw + 1) / 3 * quality.BINS).astype(int), quality.BINS - 1)
+    bins = np.unique(at)
+    knots, values = quality.isotonic(np.array([raw[at == b].mean() for b in bins]), np.array([label[at == b].mean() for b in bins]), np.array([(at == b).sum() for b in bins]))
+    assert model.knots == pytest.approx(knots) and model.values == pytest.approx(values)
+
+
+def test_quality_of_odd_tables(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    rows = [(1, "good text here"), (1, "good text here"), (2, "!!! ###"), (3, "word " * 200_000), (None, None)]
+    described = quality.describe(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = quality.score(described, quality.train(described, labels)).collect()
+    assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
+    empty = quality.describe(spark.createDataFrame([], "doc_id long, text string"))
+    assert quality.score(empty, quality.train(empty, labels)).count() == 0
+
+
+def test_very_long_and_empty_tables(spark):
+    long = " ".join(f"w{i % 5000}x" for i in range(150_000))
+    df = spark.createDataFrame([(1, long, "xx"), (2, long + " end", "xx"), (3, "short the text", "yy"), (3, None, None)], "doc_id long, text string, lang string").withColumn("_answer", F.lit(1)).withColumn("_found", F.lit(2)).withColumn("_digest", F.lit(3))
+    assert {r["doc_id"]: r["component_id"] for r in neardup.classify(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert sorted(r["doc_id"] for r in neardup.deduplicate(df, shingle=5).collect()) == [1, 3, 3]
+    model = langid.train(df, F.col("doc_id"))
+    got = langid.predict(df, model)
+    assert got.columns == [*df.columns, "lang_pred", "score"] and [r["lang_pred"] for r in got.where("doc_id = 1").collect()] == ["xx"]
+    none = df.where("false")
+    assert langid.predict(none, langid.train(none, F.col("doc_id"))).count() == 0 and neardup.deduplicate(none).count() == 0
+    items = spark.createDataFrame([(1, " ".join(f"w{i}x" for i in range(30)))], "item_id long, text string")
+    for size in (1 << 20, 0):
+        found = decontam.decontaminate(df, items, block_bytes=size)
+        assert found.columns == [*df.columns, "n_words", "hit_spans", "hit_items"] and sorted((r["doc_id"], len(r["hit_spans"])) for r in found.collect()) == [(1, 30), (2, 30), (3, 0), (3, 0)]
+
+
+def test_a_hot_family_meets_only_where_links_can_be(spark, monkeypatch):
+    """One large group of near copies beside texts that share much of it: blocks of one component never meet."""
+    monkeypatch.setattr(neardup.links, "__defaults__", (4, 16))
+    rng = random.Random(12)
+    base = prose(rng, 60).split()
+    rows = []
+    for i in range(220):
+        w = list(base)
+        if i % 11 == 0:
+            w[10:30] = prose(rng, 20).split()
+        else:
+            w[rng.randrange(60)] = prose(rng, 1)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.classify(df).collect()}
+    assert got == brute_groups(rows)
