@@ -13,7 +13,7 @@ The fold runs once for each distinct word of a task (of as many batches as bring
 Arrow's dictionary encoding turns a batch's words into numbers, and the words that are new travel on the batch's first
 row, as bytes already; a word that is itself a token needs no fold. Words are told apart by 128 bits of hash. After the fold the numbers are looked up in what came so
 far. All of it is one stage over the texts where they lie: nothing is shuffled, and memory is bounded by the words
-remembered and by a batch. Jobs that encode long texts do well to use small batches (``shared.TEXT_ROWS``).
+remembered and by a batch. Jobs that encode long texts do well to use small batches (``shared.WORD_ROWS``).
 Decoding concatenates the tokens' bytes, a batch at a time.
 
 Null texts are empty; an empty text has no ids. Repeated rows are encoded each on its own. Columns named like the
@@ -241,6 +241,7 @@ def _distinct(shared):
                 first = pa.ListArray.from_arrays(pa.array([0, *[len(new)] * batch.num_rows], pa.int32()), written, mask=later)
                 kept = batch.drop_columns(["_words"])
                 yield pa.RecordBatch.from_arrays([*kept.columns, packed, first, pa.array([before] * batch.num_rows, pa.int32())], names=[*kept.schema.names, "_numbers", "_words", "_before"])
+                pa.default_memory_pool().release_unused()
 
     return run
 

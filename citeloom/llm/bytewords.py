@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in one chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
 
@@ -71,6 +71,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, li
         end = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield first, [t or b"" for t in column.slice(first, end - first).cast(pa.binary()).to_pylist()]
         first = end
+    pa.default_memory_pool().release_unused()  # a worker outlives its task, and others run beside it
 
 
 def joined(texts: list) -> tuple[np.ndarray, np.ndarray]:

@@ -24,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import bytewords
+from .shared import TEXT_ROWS, batches_of, fresh
 
 #: Lengths of the n-grams in bytes, slices of the filter, and the logarithm of a slice's places.
 LENGTHS, SLICES, PLACES_LOG = (3, 4), 3, 18
@@ -86,8 +86,7 @@ def _count(text: str, lang: str):
             langs = batch.column(lang).to_pylist()
             rows = batch.column(text)
             for name in sorted(set(langs)):
-                mine = bytewords.byte_column(rows.filter(pa.array([x == name for x in langs])))
-                for _, _, held in bytewords.chunks(mine):
+                for _, held in bytewords.chunks(rows.filter(pa.array([x == name for x in langs]))):
                     for code in gram_codes(held)[0]:
                         gram, n = np.unique(code, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
@@ -111,7 +110,8 @@ def train(labelled: DataFrame, doc_id: Column, text: str = "text", lang: str = "
     draw = F.crc32(F.concat(F.lit("language:"), F.col("_id").cast("string")).cast("binary")) / F.lit(2.0**32)
     rate = F.create_map(*(x for name in names for x in (F.lit(name), F.lit(min(1.0, sample_rows / sizes[name])))))
     counted = rows.where(draw < F.element_at(rate, F.col("_lang"))).mapInArrow(_count("_text", "_lang"), "lang string, gram long, n long")
-    counts = counted.groupBy("gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    with batches_of(labelled.sparkSession, TEXT_ROWS):
+        counts = counted.groupBy("gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
     bit = {name: i for i, name in enumerate(names)}
     of = np.array([bit[x] for x in counts.column("lang").to_pylist()], dtype=np.int64)
     gram, n = counts.column("gram").to_numpy().astype(np.uint64), counts.column("n").to_numpy().astype(float)
@@ -148,13 +148,12 @@ def has_letter(text: bytes) -> bool:
     return any(x.isalpha() for x in text[:256].decode(errors="ignore")) or len(text) > 256 and any(x.isalpha() for x in text.decode(errors="replace"))
 
 
-def _predict(shared, text: str, names: tuple[str, str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _predict(shared):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model: Model = shared.value
-        for batch in batches:
-            texts = bytewords.byte_column(batch.column(text))
-            langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            for first, _, held in bytewords.chunks(texts) if model.names else ():
+        for column in columns:
+            langs, scores = [UNDETERMINED] * len(column), np.zeros(len(column))
+            for first, held in bytewords.chunks(column) if model.names else ():
                 total, counts = popcounts(model, held)
                 true = np.maximum(counts - model.false * total[:, None], 0) / (1 - model.false)
                 best = true.argmax(axis=1)
@@ -165,13 +164,15 @@ def _predict(shared, text: str, names: tuple[str, str]):
                 for d, raw in enumerate(held):
                     if has_letter(raw):
                         langs[first + d], scores[first + d] = model.names[best[d]], score[d]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     return run
 
 
 def predict(documents: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``documents`` with the predicted language and a score from 0 to 1."""
-    out = documents.drop(*into)
-    schema = T.StructType([*out.schema.fields, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
-    return out.mapInArrow(_predict(documents.sparkSession.sparkContext.broadcast(model), text, into), schema)
+    """``documents`` with the predicted language and a score from 0 to 1. Only these two come back from Python."""
+    found = F.arrow_udf(_predict(documents.sparkSession.sparkContext.broadcast(model)), "lang string, score double").asNondeterministic()
+    kept = [F.col(f"`{c}`") for c in documents.columns if c not in into]
+    answer = fresh(documents, "_answer")
+    answered = documents.select(*kept, found(F.col(text)).alias(answer))
+    return answered.select(*kept, F.col(f"{answer}.lang").alias(into[0]), F.col(f"{answer}.score").alias(into[1]))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytewords
-from .shared import stored
+from .shared import TEXT_ROWS, stored
 
 SAMPLE_ROWS, FEATURES, RIDGE, BINS = 50_000, 192, 1e-3, 2000
 #: Classes of bytes whose share of a text is a statistic.
@@ -93,13 +93,11 @@ def statistics(texts: list) -> np.ndarray:
 def _stats(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = bytewords.byte_column(batch.column(text))
-            found = [statistics(held) for _, _, held in bytewords.chunks(texts)]
-            flat = np.concatenate(found) if found else np.empty((0, len(STATISTICS)))
-            values = pa.array(flat.ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, len(STATISTICS), dtype=np.int32)), values)
             kept = batch.drop_columns([text])
-            yield pa.RecordBatch.from_arrays([*kept.columns, lists], names=[*kept.schema.names, "stats"])
+            for first, held in bytewords.chunks(batch.column(text)):
+                values = pa.array(statistics(held).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, len(STATISTICS), dtype=np.int32)), values)
+                yield pa.RecordBatch.from_arrays([*kept.slice(first, len(held)).columns, lists], names=[*kept.schema.names, "stats"])
 
     return run
 
@@ -108,7 +106,7 @@ def describe(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with ``stats`` in place of the text, stored: the texts are read once."""
     out = documents.drop("stats")
     schema = T.StructType([*(f for f in out.schema.fields if f.name != text), T.StructField("stats", T.ArrayType(T.DoubleType()))])
-    return stored(out.mapInArrow(_stats(text), schema), "quality-stats")
+    return stored(out.mapInArrow(_stats(text), schema), "quality-stats", batch_rows=TEXT_ROWS)
 
 
 @dataclass

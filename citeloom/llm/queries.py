@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, decontam, langid, markup, neardup, pii, quality, shards
-from .shared import TEXT_ROWS, key_crc, stored, table
+from .shared import WORD_ROWS, key_crc, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = bpe.encode(documents, bpe.Encoder(spark, vocabulary), keep=["doc_id"], check=True)
-    return stored(bpe.digest(encoded), "encoded", batch_rows=TEXT_ROWS)
+    return stored(bpe.digest(encoded), "encoded", batch_rows=WORD_ROWS)
 
 
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

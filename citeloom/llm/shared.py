@@ -14,6 +14,8 @@ from ..sources.scratch import scratch
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch that suit whole texts: buffers on both sides stay small, however long the session has run.
 TEXT_ROWS = 1000
+#: The same for jobs with two Python workers a task, which get texts as lists of words.
+WORD_ROWS = 250
 
 
 @contextmanager

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import bpe, decontam, langid, neardup, pii
-from citeloom.llm.shared import stored
+from citeloom.llm.shared import TEXT_ROWS, WORD_ROWS, fresh, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,8 +21,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go; the rest carry the predicted one."""
     model = langid.train(docs.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))), F.col("doc_id"))
-    found = langid.predict(docs, model, into=("_lang", "_score")).where(F.col("_lang") != langid.UNDETERMINED)
-    return found.withColumn("lang", F.col("_lang")).select(docs.columns)
+    lang, score = fresh(docs, "_lang"), fresh(docs, "_score")
+    found = langid.predict(docs, model, into=(lang, score)).where(F.col(lang) != langid.UNDETERMINED)
+    return stored(found.withColumn("lang", F.col(lang)).select(docs.columns), "language", batch_rows=TEXT_ROWS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("hit_spans") == 0).select(docs.columns)
+    return stored(found.where(F.size("hit_spans") == 0).select(docs.columns), "decontaminated", batch_rows=TEXT_ROWS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +47,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the whole text, their number, and whether they decode to the text."""
     vocabulary = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    marked = docs.withColumn("_sum", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    marked = docs.select("doc_id", "lang", "source", "text", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_sum"))
     encoded = bpe.encode(marked, bpe.Encoder(spark, vocabulary), keep=["doc_id", "lang", "source", "_sum"], check=True)
-    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.md5("decoded") == F.col("_sum")).alias("decodes"))
+    checked = encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.md5("decoded") == F.col("_sum")).alias("decodes"))
+    return stored(checked, "pipeline-ids", batch_rows=WORD_ROWS)
 
 
 STAGES: list[tuple[str, Stage]] = [
