@@ -75,6 +75,11 @@ def test_sentence_records_keep_digits(spark, tmp_path):
     assert column(spark, ["0 a. 1 b 1.  22 c 2"], text.sentences) == [["0 a.", "1 b 1.", "22 c 2"]]
 
 
+def test_sentence_samples_keep_digits(spark, tmp_path):
+    got, wanted = against_sql(spark, tmp_path, "sentence_samples", NUMBERED)
+    assert got == wanted and got[0][-1] == "0997523947200283 begins this first text 0."
+
+
 def test_citations_on_later_lines(spark, tmp_path):
     texts = ["no title\nsee [4] here\n", "a\n\nb (Smith, 2020)\nSmith et al. (2020) c", "plain\nlines", "[1]\n[2", None, ""]
     rows = [(i * 9 + m, t) for i, t in enumerate(texts) for m in range(9)]
