@@ -163,3 +163,21 @@ def test_texts_and_postings_stay(spark):
         assert "Generate" not in plan and "Join" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bootstrap_of_tables_needs_no_postings(spark, tmp_path, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    asked = [(i, " ".join(rng.choices(words, k=8))) for i in range(6)]
+    docs = [(i, " ".join(rng.choices(words, k=30)) + (f" {asked[i % 6][1]} end" if i % 5 == 0 else ""), "en") for i in range(90)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    for module, name in ((lexical, "scores"), (vectors, "term_weights")):
+        monkeypatch.setattr(module, name, lambda *_, **__: pytest.fail("postings were built"))
+    got = queries.QUERIES["paired_bootstrap_2000"](spark, str(tmp_path))
+    base = duckdb.connect()
+    for table in ("benchmark", "documents"):
+        base.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    want = base.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL['paired_bootstrap_2000']})").fetchall()
+    assert tuple(got.first()) == pytest.approx(want[0], abs=2e-9) and want[0][-1] == 2000 and want[0][0] > 0
