@@ -11,9 +11,9 @@ Documents that share a band meet in a bucket. No bucket is expanded into all pai
 
 1. each member is compared with the bucket's least id on the full sets; links make components;
 2. buckets whose members all lie in one component are done. The rest is compared across components only: buckets of up
-   to ``small`` members by pairs, larger ones in blocks of at most about ``block`` members, dealt by component and by
-   set size: blocks meet if they can hold a pair that is alike and not yet joined. A meeting multiplies sets as matrices
-   and returns no more links than join the components. Nothing is capped.
+   to ``small`` members by pairs, larger ones in blocks of at most about ``block`` members and ``ELEMENTS`` elements,
+   dealt by component and by set size: blocks meet if they can hold a pair that is alike and not yet joined. A meeting
+   multiplies sets as matrices and returns no more links than join the components. Nothing is capped.
 
 At the default bands a pair with similarity 0.8 misses every band with a probability of 5e-6.
 
@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 
 from . import bytewords
 from .graph import components, sieve, without
-from .shared import TEXT_ROWS, fresh, stored
+from .shared import LONG_BYTES, TEXT_ROWS, fresh, stored
 
 SHINGLE, THRESHOLD = 2, 80
 BANDS, ROWS = 40, 6
 SMALL, BLOCK = 48, 1024
+#: Elements of the sets in one block (32 MB), and elements that a meeting of blocks numbers at a time.
+ELEMENTS, SLICE = 1 << 22, 1 << 19
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -130,16 +132,17 @@ def _alike(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
-def _verify(threshold: int, rows: int = 256):
-    """Whether two sets are alike; the sets are Python objects for a few ``rows`` at a time."""
+def _elements(x: pa.Scalar) -> np.ndarray:
+    """A set where it lies in the Arrow buffer."""
+    return np.frombuffer(x.as_buffer(), dtype=np.uint64)
+
+
+def _verify(threshold: int):
+    """Whether two sets are alike."""
 
     def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for one, other in columns:
-            same = []
-            for i in range(0, len(one), rows):
-                pairs = zip(one.slice(i, rows).to_pylist(), other.slice(i, rows).to_pylist())
-                same += [_alike(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), threshold) for x, y in pairs]
-            yield pa.array(same, pa.bool_())
+            yield pa.array([_alike(_elements(x), _elements(y), threshold) for x, y in zip(one, other)], pa.bool_())
 
     return run
 
@@ -150,21 +153,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return joined.where(alike("one", "other")).select("a", "b")
 
 
-def _across(threshold: int):
-    """Links between the components of two blocks (or of one): no more than join what they can join."""
+def _shared(elements: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How many elements the ``first`` of the sorted sets share with the ``second``.
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        low, high = key[0].as_py(), key[1].as_py()
-        side = np.array([x == low for x in rows.column("block").to_pylist()])
-        first = np.flatnonzero(side)
-        second = np.flatnonzero(~side) if high != low else first
-        if not len(first) or not len(second):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        ids, comp = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
-        elements = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("elements").to_pylist()]
-        sizes = np.fromiter(map(len, elements), dtype=np.int64, count=len(elements))
-        owner = np.repeat(np.arange(len(elements)), sizes)
-        distinct, code, count = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    Elements are taken by ranges of their values, which are hashes: about ``SLICE`` at a time, so that little is held
+    beside the sets however long they are.
+    """
+    row_of, col_of = np.full(len(elements), -1), np.full(len(elements), -1)
+    row_of[first], col_of[second] = np.arange(len(first)), np.arange(len(second))
+    both = np.zeros((len(first), len(second)), dtype=np.float32)
+    parts = -(-sum(map(len, elements)) // SLICE)
+    inner = np.array([(p << 64) // parts for p in range(1, parts)], dtype=np.uint64)
+    cuts = np.array([[0, *np.searchsorted(e, inner), len(e)] for e in elements])
+    for p in range(parts):
+        low, high = cuts[:, p], cuts[:, p + 1]
+        owner = np.repeat(np.arange(len(elements)), high - low)
+        distinct, code, count = np.unique(np.concatenate([e[a:b] for e, a, b in zip(elements, low, high)]), return_inverse=True, return_counts=True)
         shared = np.flatnonzero(count > 1)
         column = np.full(len(distinct), -1)
         column[shared] = np.arange(len(shared))
@@ -172,9 +176,6 @@ def _across(threshold: int):
         owner, code = owner[code >= 0], code[code >= 0]
         order = np.argsort(code, kind="stable")
         owner, code = owner[order], code[order]
-        row_of, col_of = np.full(len(elements), -1), np.full(len(elements), -1)
-        row_of[first], col_of[second] = np.arange(len(first)), np.arange(len(second))
-        both = np.zeros((len(first), len(second)), dtype=np.float32)
         for c in range(0, len(shared), 2048):
             a, b = np.searchsorted(code, (c, c + 2048))
             o, k = owner[a:b], code[a:b] - c
@@ -182,6 +183,23 @@ def _across(threshold: int):
             x[row_of[o[row_of[o] >= 0]], k[row_of[o] >= 0]] = 1
             y[col_of[o[col_of[o] >= 0]], k[col_of[o] >= 0]] = 1
             both += x @ y.T
+    return both
+
+
+def _across(threshold: int):
+    """Links between the components of two blocks (or of one): no more than join what they can join."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        low, high = key[0].as_py(), key[1].as_py()
+        side = np.array([x == low for x in rows.column("block").to_pylist()])
+        first = np.flatnonzero(side)
+        second = np.flatnonzero(~side) if high != low else first
+        if not len(first) or not len(second):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        ids, comp = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
+        elements = [_elements(x) for x in rows.column("elements")]
+        sizes = np.fromiter(map(len, elements), dtype=np.int64, count=len(elements))
+        both = _shared(elements, first, second)
         common = both.astype(np.int64)
         linked = (100 * common >= threshold * (sizes[first][:, None] + sizes[second][None, :] - common)) & (comp[first][:, None] != comp[second][None, :])
         parent: dict[int, int] = {}
@@ -211,17 +229,19 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
 def _met(large: DataFrame, sets: DataFrame, threshold: int, block: int) -> DataFrame:
     """id, comp, elements and block of the members of large buckets, once for each pair of blocks (first, second) that has to meet.
 
-    A family is what large buckets connect. Its members are dealt by component, where one has ``block`` members or more
-    (the other members are dealt together), and by the logarithm of the set's size, in steps of the size ratio that the
-    threshold asks for. Blocks of one and the same component have nothing to join, and blocks more than one step apart no
+    A family is what large buckets connect. Its members are dealt by component, where one fills a block by its members or
+    their elements (the other members are dealt together), and by the logarithm of the set's size, in steps of the size
+    ratio that the threshold asks for. Blocks of one and the same component have nothing to join, and blocks more than one step apart no
     pair that is alike; all others meet.
     """
     family = components(large.select(F.col("hub").alias("a"), F.col("id").alias("b"))).withColumnRenamed("root", "family")
     members = large.select("id", "comp").distinct().join(family, "id").join(sets, "id")
-    own = members.groupBy("family", "comp").agg(F.count("*").alias("n")).where(F.col("n") >= block).select("family", "comp", F.col("comp").alias("own"))
-    step = F.floor(F.log(F.octet_length("elements") / 8) / F.lit(math.log(100 / threshold) * (1 + 1e-9) if threshold < 100 else 1e-6))
+    size = F.octet_length("elements") / 8
+    fills = F.greatest(F.count("*") / F.lit(block), F.sum(size) / F.lit(ELEMENTS))
+    own = members.groupBy("family", "comp").agg(fills.alias("n")).where("n >= 1").select("family", "comp", F.col("comp").alias("own"))
+    step = F.floor(F.log(size) / F.lit(math.log(100 / threshold) * (1 + 1e-9) if threshold < 100 else 1e-6))
     placed = stored(members.join(own, ["family", "comp"], "left").withColumn("step", step), "family-members")
-    cells = placed.groupBy("family", "own", "step").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
+    cells = placed.groupBy("family", "own", "step").agg(F.ceil(fills).alias("blocks"))
     cells = stored(cells.withColumn("cell", F.monotonically_increasing_id()), "family-cells")
     name = lambda cell, i: F.struct(F.col(cell).alias("cell"), F.col(i).cast("long").alias("i"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -244,9 +264,9 @@ def links(classes: DataFrame, documents: DataFrame, text: str, shingle: int, thr
     wanted = stored(classes.select("id", "rep", "digest").join(members.select("id").distinct(), "id", "left_semi"), "wanted")
     rows = sieve(documents.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).where("rep is not null"), wanted, "rep")
     found = rows.join(wanted, "rep", "left_semi").mapInArrow(_sets(shingle), "digest binary, elements binary").dropDuplicates(["digest"])
-    sets = stored(found.join(wanted, "digest").select("id", "elements"), "sets", batch_rows=TEXT_ROWS)
+    sets = stored(found.join(wanted, "digest").select("id", "elements"), "sets", batch_rows=TEXT_ROWS, batch_bytes=LONG_BYTES)
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = stored(_verified(pairs, sets, threshold), "links", batch_rows=TEXT_ROWS)
+    first = stored(_verified(pairs, sets, threshold), "links", batch_rows=TEXT_ROWS, batch_bytes=LONG_BYTES)
 
     labelled = stored(_labelled(members, components(first)), "labelled")
     open_ = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
@@ -259,13 +279,13 @@ def links(classes: DataFrame, documents: DataFrame, text: str, shingle: int, thr
     large = rest.where(F.col("n") > small)
     if not large.isEmpty():
         found = found.unionAll(_met(large, sets, threshold, block).groupBy("first", "second").applyInArrow(_across(threshold), "a long, b long"))
-    return stored(found, "links", batch_rows=TEXT_ROWS)
+    return stored(found, "links", batch_rows=TEXT_ROWS, batch_bytes=LONG_BYTES)
 
 
 def _classified(documents: DataFrame, text: str, shingle: int, threshold: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, digest, component_id and kept for each row of ``documents``."""
     own = documents.select("doc_id", F.col(text).alias("text"))
-    described = stored(own.mapInArrow(_describe("text", shingle, bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketches", batch_rows=TEXT_ROWS)
+    described = stored(own.mapInArrow(_describe("text", shingle, bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketches", batch_rows=TEXT_ROWS, batch_bytes=LONG_BYTES)
     classes = described.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
     classes = stored(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
     # a class goes by its least doc_id, and by a number where classes share that

@@ -2,12 +2,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.llm import bytewords, decontam, graph, langid, neardup, quality
+from citeloom.llm import bytewords, decontam, graph, langid, neardup, quality, shared
 
 SYLLABLES = ["an", "er", "on", "th", "re", "st", "le", "ou", "ti", "ha", "da", "ko", "mi", "ru"]
 
@@ -324,3 +326,65 @@ def test_a_hot_family_meets_only_where_links_can_be(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.classify(df).collect()}
     assert got == brute_groups(rows)
+
+
+def test_meetings_of_long_sets_hold_little_beside_them(monkeypatch):
+    """Two blocks of 40 sets of 20,000 elements: the links are those of all pairs, the memory far less than the sets."""
+    monkeypatch.setattr(neardup, "SLICE", 1 << 16, raising=False)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 20000, dtype=np.uint64)
+    sets = []
+    for _ in range(80):
+        own = base.copy()
+        n = rng.integers(1000, 3000)
+        own[rng.choice(20000, n, replace=False)] = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        sets.append(np.unique(own))
+    rows = pa.table({"block": pa.array([i % 2 for i in range(80)], pa.int64()), "id": pa.array(range(80), pa.int64()), "comp": pa.array(range(80), pa.int64()), "elements": pa.array([s.tobytes() for s in sets], pa.binary())})
+    run = neardup._across(80)
+    tracemalloc.start()
+    found = run((pa.scalar(0), pa.scalar(1)), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.7 * sum(s.nbytes for s in sets)
+
+    def groups(links):
+        root = list(range(80))
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+        return root
+
+    want = groups((a, b) for a in range(0, 80, 2) for b in range(1, 80, 2) if neardup._alike(sets[a], sets[b], 80))
+    assert groups(zip(found["a"].to_pylist(), found["b"].to_pylist())) == want and 1 < len(set(want)) < 80
+
+
+def test_blocks_are_bounded_by_their_elements(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "ELEMENTS", 1000, raising=False)
+    large = spark.createDataFrame([(i, 0, i) for i in range(64)], "id long, hub long, comp long")
+    sets = spark.createDataFrame([(i, bytes(800)) for i in range(64)], "id long, elements binary")
+    met = neardup._met(large, sets, 80, 1024).groupBy("first", "second", "block").agg(F.sum(F.octet_length("elements") / 8).alias("n")).collect()
+    assert max(r["n"] for r in met) <= 2000
+    # every two blocks meet, and each meets itself
+    blocks = {r["block"] for r in met}
+    assert len({(r["first"], r["second"]) for r in met}) >= len(blocks) * (len(blocks) + 1) // 2
+
+
+@pytest.mark.parametrize("elements", [1, 200])
+def test_near_duplicates_in_blocks_of_few_elements(spark, monkeypatch, elements):
+    monkeypatch.setattr(neardup.links, "__defaults__", (2, 1024))
+    monkeypatch.setattr(neardup, "ELEMENTS", elements, raising=False)
+    rows = near_copies()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_arrow_batches_of_few_bytes(spark):
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    long = spark.range(300).coalesce(1).select(F.repeat(F.lit("x"), 10000).alias("text"))
+    most = shared.stored(long.mapInArrow(count, "n long"), "counts", batch_bytes=1 << 20).agg(F.max("n"), F.sum("n")).first()
+    assert most[0] < 120 and most[1] == 300 and spark.conf.get(key) == before
